@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import map_slices, materialise, row_key, texts_as_bytes
 SEQUENCE = 2048
 GRAIN = 8
 END = 1
-CACHE = 600_000
+CACHE = 1_200_000
 #: Rows of one rank group, and pricing rounds of the linear program.
 GROUP_ROWS = 50_000
 ROUNDS = 4_000
@@ -53,7 +54,7 @@ class WordCoder:
         for start in range(0, len(fresh), 20_000):
             part = fresh[start : start + 20_000]
             for c, e in zip(part, self.coder.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+                self.chunks[c] = array("I", e.ids).tobytes()
         get = self.chunks.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
