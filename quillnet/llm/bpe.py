@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: A space before white space of any kind, or at the end: such texts are split as a whole.
 _RUNS = re.compile(rb" (?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|\Z)")
 #: Entries of a worker's caches before they are emptied.
-CACHE = 400_000
+CACHE = 600_000
 _LONG = 48
+_NONE = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -68,6 +70,7 @@ class ByteBpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[text_id[a], text_id[b]] = (rank, text_id[a + b])
+        self.packed = {pair: rank << 20 | new for pair, (rank, new) in self.merges.items()}
         # longest-match tables: sorted hashes of the tokens of each length
         self.lengths = sorted({len(s) for s in vocab})
         self.base = 0x9E3779B97F4A7C15 | 1
@@ -91,16 +94,20 @@ class ByteBpe:
     # exact merging
     def merge(self, word: bytes) -> list[int]:
         """The merge procedure: always the pair of lowest rank, leftmost first."""
-        ids = [self.single[b] for b in word]
+        single = self.single
+        ids = [single[b] for b in word]
         if len(ids) > _LONG:
             return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            found = [(m[0], k, m[1]) for k in range(len(ids) - 1) if (m := get((ids[k], ids[k + 1])))]
-            if not found:
-                break
-            _, k, new = min(found)
-            ids[k : k + 2] = [new]
+        get = self.packed.get
+        todo = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while todo and (best := min(todo)) != _NONE:
+            k = todo.index(best)
+            ids[k : k + 2] = [best & 0xFFFFF]
+            del todo[k]
+            if k:
+                todo[k - 1] = get((ids[k - 1], ids[k]), _NONE)
+            if k < len(todo):
+                todo[k] = get((ids[k], ids[k + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -194,7 +201,7 @@ class ByteBpe:
         new = [w for w in words if w not in self.words]
         raw = [w.encode() for w in new]
         for w, ids in zip(new, self.encode_words(raw), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
+            self.words[w] = array("I", ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""

@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, packing
+from . import bpe, langid, media, packing, pii, topk
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), langid.fit(docs)).drop("text")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_columns(table(spark, sf_dir, "documents")))
 
@@ -19,12 +29,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_media_columns, op7_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
