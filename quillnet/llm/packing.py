@@ -27,7 +27,7 @@ GRAIN = 8
 END = 1
 CACHE = 1_200_000
 #: Rows of one rank group, and pricing rounds of the linear program.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 20_000
 ROUNDS = 4_000
 
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAI
     capacity = sequence // grain
     rows = materialise(tokenised(docs, path, sequence), "tokens")
     n_rows = rows.count()
-    groups = max(16, n_rows // GROUP_ROWS)
+    groups = max(64, n_rows // GROUP_ROWS)
     # rank groups: by key, so that a recomputed task deals the same rows
     rows = rows.select(
         "doc_id", "_k1", "doc_tokens", "crcs",
