@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import concatenated, map_slices
 
-UNITS = 8
+UNITS = 12
 SPAN = 64
 #: Bounds of the training sample: languages, documents a language (about), characters a document.
 LANGUAGES = 64
 PER_LANGUAGE = 500
 SAMPLE_CHARS = 512
-STEPS = 260
+STEPS = 400
 BATCH = 256
 #: Spans that run side by side in a worker.
 WIDE = 4096
