@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, pii, topk
+from . import bpe, langid, media, packing, pii, substring_dedup, suffix_dedup, topk
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), langid.fit(docs)).drop("text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,7 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_substring_dedup, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
