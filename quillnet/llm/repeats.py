@@ -31,7 +31,8 @@ from .common import concatenated, map_slices, materialise
 CROWD = 2_000
 #: Symbols that are hashed at once, and bytes of contexts that a solver gets at once.
 BLOCK = 1 << 18
-SOLVE_BYTES = 16 << 20
+SOLVE_BYTES = 8 << 20
+SCAN_BYTES = 2 << 20
 _BITS = 24
 
 _U = np.uint64
@@ -180,7 +181,7 @@ def _run_table(docs: DataFrame, kind: Kind) -> DataFrame:
             ["_k0", "_k1", "h", "g", "s", "n", "d"],
         )
 
-    return map_slices(docs, fn, "_k0 long, _k1 long, h long, g long, s int, n short, d short")
+    return map_slices(docs, fn, "_k0 long, _k1 long, h long, g long, s int, n short, d short", limit=SCAN_BYTES)
 
 
 Solver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -203,7 +204,7 @@ def _contexts(picked: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
         ctx = [source[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + kind.window).tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("_k0").take(row), batch.column("_k1").take(row), *(flat.field(c) for c in ("h", "s", "n", "d", "crowded")), pa.array(ctx, pa.binary())], ["_k0", "_k1", "h", "s", "n", "d", "crowded", "ctx"])
 
-    return map_slices(joined, fn, "_k0 long, _k1 long, h long, s int, n short, d short, crowded boolean, ctx binary")
+    return map_slices(joined, fn, "_k0 long, _k1 long, h long, s int, n short, d short, crowded boolean, ctx binary", limit=SCAN_BYTES)
 
 
 def _codes(kind: Kind, data: np.ndarray) -> np.ndarray:
@@ -273,12 +274,14 @@ def repeated(docs: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
     """For rows (_k0, _k1, text): the row's keys and ``covered``, an array of stretches (a, b) of symbols whose
     union is what repeated windows cover.  Rows without any are absent.  Equal keys are repeated rows."""
     table = materialise(_run_table(docs, kind), "runs")
-    often = table.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # tables on both sides let the engine split a partition that one hot anchor fills
+    often = materialise(table.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
     hot = materialise(table.join(often, "h"), "anchors")
     kinds = hot.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("_k0", "_k1", "s", "n", "d")).alias("one"))
     kinds = materialise(kinds, "kinds")
     settled = hot.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("_k0", "_k1", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + kind.window).alias("b"))
     open_ = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h", (F.col("m") > CROWD).alias("crowded"))
+    open_ = materialise(open_, "open")
     picked = kinds.join(open_, "h").select("h", "one.*", "crowded")
     contexts = materialise(_contexts(picked, docs, kind), "contexts")
     found = [settled, _solved(contexts.where("not crowded"), kind, solver)]
