@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, pii, substring_dedup, suffix_dedup, topk
+from . import bpe, jaccard_join, langid, media, packing, pii, substring_dedup, suffix_dedup, topk
 from .common import table
 
 
@@ -46,8 +46,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_substring_dedup, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_substring_dedup, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
