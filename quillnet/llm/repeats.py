@@ -266,7 +266,7 @@ def _by_window(contexts: DataFrame, kind: Kind) -> DataFrame:
 
     windows = map_slices(contexts.select("_k0", "_k1", "s", "n", "ctx"), fn, "_k0 long, _k1 long, a int, x long, y long", column="ctx", limit=1 << 20)
     windows = materialise(windows, "windows")
-    twice = windows.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
+    twice = materialise(windows.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"), "twice")
     return windows.join(twice, ["x", "y"]).select("_k0", "_k1", "a", (F.col("a") + kind.window).alias("b"))
 
 
