@@ -145,11 +145,12 @@ def block_links(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray,
 
 
 def _links(members: DataFrame, gram: int, threshold: float) -> DataFrame:
-    """For members (cluster, item, n, text): item and the items linked with it that its tasks found."""
+    """For members (cluster, n, item, class_id, text): item, the class ids linked with it, and ``roots``,
+    at most one item for each pair of blocks, that stand for what it is connected with."""
     blocks = members.withColumn("parts", F.ceil(F.col("n") / CROWD).cast("int")).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
     # every member goes to the pairs (lower part, upper part) of its cluster that hold its own part
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("lo"), F.greatest(k, F.col("part")).alias("hi")))
-    dealt = blocks.select("cluster", "item", "part", "text", F.explode(meet).alias("pair")).select("cluster", "pair.lo", "pair.hi", "item", "part", "text")
+    dealt = blocks.select("cluster", "item", "class_id", "part", "text", F.explode(meet).alias("pair")).select("cluster", "pair.lo", "pair.hi", "item", "class_id", "part", "text")
 
     def task(t: pa.Table) -> pa.Table:
         buf, offsets = concatenated(t.column("text"))
@@ -159,14 +160,24 @@ def _links(members: DataFrame, gram: int, threshold: float) -> DataFrame:
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         pairs = block_links(ids[a], [sets[k] for k in a], ids[b], [sets[k] for k in b], threshold, lo == hi) if len(a) and len(b) else []
-        linked: dict[int, list[int]] = {}
+        names, linked, root = t.column("class_id").to_pylist(), {}, {}
+        name = dict(zip(ids.tolist(), names, strict=True))
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for x, y in pairs:
-            linked.setdefault(x, []).append(y)
-            linked.setdefault(y, []).append(x)
-        return pa.table({"item": pa.array(list(linked), pa.int64()), "linked": pa.array(list(linked.values()), pa.list_(pa.int64()))})
+            linked.setdefault(x, []).append(name[y])
+            linked.setdefault(y, []).append(name[x])
+            if (u := top(x)) != (v := top(y)):
+                root[max(u, v)] = min(u, v)
+        lists = pa.array(list(linked.values()), pa.list_(pa.int64()))
+        return pa.table({"item": pa.array(list(linked), pa.int64()), "root": pa.array([top(x) for x in linked], pa.int64()), "linked": lists})
 
-    found = dealt.groupBy("cluster", "lo", "hi").applyInArrow(task, "item long, linked array<long>")
-    return found.groupBy("item").agg(F.array_sort(F.flatten(F.collect_list("linked"))).alias("linked"))
+    found = dealt.groupBy("cluster", "lo", "hi").applyInArrow(task, "item long, root long, linked array<long>")
+    return found.groupBy("item").agg(F.collect_set("root").alias("roots"), F.flatten(F.collect_list("linked")).alias("linked"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
@@ -192,17 +203,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall
     met = materialise(hubs.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub"), "met")
     clusters = components(hubs.join(met, "hub"))
     sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    members = clusters.join(sizes, "cluster").join(classes.select(F.col("c0").alias("item"), "_k0", "_k1"), "item")
-    texts = keyed.select("_k0", "_k1", "text").join(members, ["_k0", "_k1"]).groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("text").alias("text"))
+    members = clusters.join(sizes, "cluster").join(classes.select(F.col("c0").alias("item"), "class_id", "_k0", "_k1"), "item")
+    texts = keyed.select("_k0", "_k1", "text").join(members, ["_k0", "_k1"]).groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("class_id").alias("class_id"), F.first("text").alias("text"))
     links = materialise(_links(texts, gram, threshold), "links")
     # groups: components of the links themselves
-    stars = links.select("item", F.explode("linked").alias("hub"))
-    groups = components(stars.unionByName(links.select("item", F.col("item").alias("hub"))))
-    names = classes.select(F.col("c0").alias("item"), "class_id")
-    named = materialise(groups.join(names, "item"), "named")
+    groups = components(links.select("item", F.explode(F.array_union("roots", F.array("item"))).alias("hub")))
+    named = materialise(groups.join(classes.select(F.col("c0").alias("item"), "class_id"), "item"), "named")
     group_ids = named.groupBy("cluster").agg(F.min("class_id").alias("group_id"))
-    spelled = stars.join(names.select(F.col("item").alias("hub"), F.col("class_id").alias("to")), "hub").groupBy("item").agg(F.array_sort(F.collect_list("to")).alias("links"))
-    linked = links.select("item", F.size("linked").cast("long").alias("n_links")).join(spelled, "item").join(named.select("item", "cluster").join(group_ids, "cluster").select("item", "group_id"), "item")
+    linked = links.select("item", F.size("linked").cast("long").alias("n_links"), F.array_sort(F.array_compact("linked")).alias("links"))
+    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", "group_id"), "item")
     about = materialise(classes.select("c0", "c1", "class_id").join(linked.withColumnRenamed("item", "c0"), "c0", "left"), "about")
     return table.select("doc_id", "c0", "c1").join(about, ["c0", "c1"], "left").select(
         "doc_id",
