@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, langid, media, packing, pii, substring_dedup, suffix_dedup, topk
+from . import bpe, html_text, jaccard_join, langid, media, packing, pii, substring_dedup, suffix_dedup, topk
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,7 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_substring_dedup, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_substring_dedup, op4_html_text, op5_pii, op6_media_columns, op7_bpe, op8_top_k, op9_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
