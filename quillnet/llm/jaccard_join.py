@@ -180,18 +180,8 @@ def _links(members: DataFrame, gram: int, threshold: float) -> DataFrame:
     return found.groupBy("item").agg(F.collect_set("root").alias("roots"), F.flatten(F.collect_list("linked")).alias("linked"))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, class_id, n_links, group_id, links.
-
-    A class is the rows with the same set of word n-grams (words parted by ASCII
-    white space, otherwise unchanged; a text of 1 to 4 words is one n-gram);
-    class_id is its least doc_id.  n_links counts the other classes whose Jaccard
-    similarity reaches the threshold, links lists them on the row of the class's
-    least doc_id (null elsewhere); group_id is the least class that links connect
-    it with.  A text without words, or null, is a class of its own without links.
-    Rows with null doc_id take part, with class ids of other rows where there are
-    any.  Repeated rows give repeated rows; other columns are ignored.
-    """
+def _joined(docs: DataFrame, threshold: float, gram: int, recall: float, rows: int) -> DataFrame:
+    """The join's rows with their keys, and ``_group``, a hash that stands for the group."""
     bands = bands_for(threshold, recall, rows)
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row_key())
     table = materialise(_profiles(keyed, gram, bands, rows), "profiles")
@@ -211,12 +201,38 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall
     named = materialise(groups.join(classes.select(F.col("c0").alias("item"), "class_id"), "item"), "named")
     group_ids = named.groupBy("cluster").agg(F.min("class_id").alias("group_id"))
     linked = links.select("item", F.size("linked").cast("long").alias("n_links"), F.array_sort(F.array_compact("linked")).alias("links"))
-    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", "group_id"), "item")
+    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", F.col("cluster").alias("_group"), "group_id"), "item")
     about = materialise(classes.select("c0", "c1", "class_id").join(linked.withColumnRenamed("item", "c0"), "c0", "left"), "about")
-    return table.select("doc_id", "c0", "c1").join(about, ["c0", "c1"], "left").select(
+    return table.select("doc_id", "_k0", "_k1", "c0", "c1").join(about, ["c0", "c1"], "left").select(
         "doc_id",
+        "_k0",
+        "_k1",
+        F.coalesce("_group", "c0", F.xxhash64("_k0", "_k1")).alias("_group"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
         F.when(F.col("doc_id") == F.col("class_id"), F.col("links")).alias("links"),
     )
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, class_id, n_links, group_id, links.
+
+    A class is the rows with the same set of word n-grams (words parted by ASCII
+    white space, otherwise unchanged; a text of 1 to 4 words is one n-gram);
+    class_id is its least doc_id.  n_links counts the other classes whose Jaccard
+    similarity reaches the threshold, links lists them on the row of the class's
+    least doc_id (null elsewhere); group_id is the least class that links connect
+    it with.  A text without words, or null, is a class of its own without links.
+    Rows with null doc_id take part, with class ids of other rows where there are
+    any.  Repeated rows give repeated rows; other columns are ignored.
+    """
+    return _joined(docs, threshold, gram, recall, rows).select("doc_id", "class_id", "n_links", "group_id", "links")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """The input's columns, with one row of each group of ``join``: that of the least doc_id (null last)."""
+    found = _joined(docs, threshold, gram, recall, rows)
+    stays = found.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k0")).alias("one")).select("one._k0", "one._k1")
+    keyed = docs.select("*", *row_key())
+    return keyed.join(materialise(stays, "stays"), ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).select(*docs.columns)
