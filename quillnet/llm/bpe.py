@@ -11,7 +11,6 @@ pair undergo exact merging as a whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts_as_bytes
+from .common import held, map_slices, texts_as_bytes
 
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -259,9 +258,8 @@ class ByteBpe:
         return raw.decode("utf-8", "replace").encode()
 
 
-@functools.lru_cache(maxsize=2)
 def bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return held(f"bytes {path}", lambda: ByteBpe(path))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -276,7 +274,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         ids = coder.encode(texts_as_bytes(batch.column("text")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, decoded binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, decoded binary", holds=f"bytes {path}")
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -295,4 +293,4 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=f"bytes {path}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +63,32 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """``mapInArrow`` with batches cut to a bounded number of text bytes."""
+_HELD: dict = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """A worker's one large object, such as a coder with its caches, kept from task to task of the same operator."""
+    if name not in _HELD:
+        release(name)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release(but: str | None = None) -> None:
+    """Drop what tasks of other operators have left in a reused worker, and give the memory back."""
+    if any(k != but for k in _HELD):
+        for k in [k for k in _HELD if k != but]:
+            del _HELD[k]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
+    """``mapInArrow`` with batches cut to a bounded number of text bytes; ``holds`` names the large object that the tasks keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(holds)
         for batch in batches:
             for piece in slices(batch, column, limit):
                 if (out := fn(piece)) is not None:

@@ -11,7 +11,6 @@ their length, and ranges of ranks are assigned to the patterns' slots.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from array import array
 
@@ -20,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, row_key, texts_as_bytes
+from .common import held, map_slices, materialise, row_key, texts_as_bytes
 
 SEQUENCE = 2048
 GRAIN = 8
 END = 1
-CACHE = 1_200_000
+CACHE = 1_000_000
 #: Rows of one rank group, and pricing rounds of the linear program.
 GROUP_ROWS = 20_000
 ROUNDS = 4_000
@@ -59,9 +58,8 @@ class WordCoder:
         return [b"".join(map(get, s)) for s in split]
 
 
-@functools.lru_cache(maxsize=2)
 def word_coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return held(f"words {path}", lambda: WordCoder(path))
 
 
 def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -74,7 +72,7 @@ def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k1"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "_k1", "doc_tokens", "crcs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", row_key()[1], "text")
-    return map_slices(rows, run, "doc_id long, _k1 long, doc_tokens long, crcs array<long>")
+    return map_slices(rows, run, "doc_id long, _k1 long, doc_tokens long, crcs array<long>", holds=f"words {path}")
 
 
 # the cutting-stock problem
