@@ -1,0 +1 @@
+"""Batch only: the operators have no streaming state, so nothing is defined here."""
