@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
@@ -40,12 +41,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, whatever their case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def quoted(names: list[str]) -> list:
+    """Columns by their names, which may hold any character."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def widened(df: DataFrame, names: list[str], more: str) -> StructType:
+    """The schema of these columns of ``df`` and of the columns in ``more``."""
+    return StructType([df.schema[c] for c in names] + StructType.fromDDL(more).fields)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Two columns that identify a row by content, also where ``doc_id`` is null or repeated.
 
     Rows with equal keys are repeated rows and get equal results.
     """
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_k0"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("_k1")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_qn_k0"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("_qn_k1")]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -84,7 +100,7 @@ def release(but: str | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
     """``mapInArrow`` with batches cut to a bounded number of text bytes; ``holds`` names the large object that the tasks keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, others, quoted, widened
 from .langid import softmax
 from .repeats import Kind, symbols
 
@@ -369,12 +369,11 @@ def extract(pages: DataFrame, net: Lstm | None = None) -> DataFrame:
     pages without main text, give an empty text.  Repeated rows give repeated rows.
     """
     net = net or fit(pages)
-    rest = [c for c in pages.columns if c not in ("text", "n_chars")]
+    rest = others(pages, "text", "n_chars")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
         texts = ["\n\n".join(b.text for b, ok in zip(p, good.tolist(), strict=True) if ok) for p, good in zip(found, label(net, found), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*rest, "text", "n_chars"])
 
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
-    return map_slices(pages.select(*rest), fn, f"{fields}, text string, n_chars long", column="html", limit=4 << 20)
+    return map_slices(pages.select(*quoted(rest)), fn, widened(pages, rest, "text string, n_chars long"), column="html", limit=4 << 20)

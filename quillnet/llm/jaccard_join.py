@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concatenated, map_slices, materialise, row_key
+from .common import concatenated, map_slices, materialise, quoted, row_key
 from .repeats import POWERS2, Kind, Prefix, mix, symbols
 
 GRAM = 5
@@ -85,9 +85,9 @@ def _profiles(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
         c1 = mix(two.of(at[:-1], at[1:])).view(np.int64)
         none = n == 0
         lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_k0", "_k1")), pa.array(c0, mask=none), pa.array(c1, mask=none), lists], ["doc_id", "_k0", "_k1", "c0", "c1", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_qn_k0", "_qn_k1")), pa.array(c0, mask=none), pa.array(c1, mask=none), lists], ["doc_id", "_qn_k0", "_qn_k1", "c0", "c1", "bands"])
 
-    return map_slices(docs, fn, "doc_id long, _k0 long, _k1 long, c0 long, c1 long, bands array<long>", limit=2 << 20)
+    return map_slices(docs, fn, "doc_id long, _qn_k0 long, _qn_k1 long, c0 long, c1 long, bands array<long>", limit=2 << 20)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -185,7 +185,7 @@ def _joined(docs: DataFrame, threshold: float, gram: int, recall: float, rows: i
     bands = bands_for(threshold, recall, rows)
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row_key())
     table = materialise(_profiles(keyed, gram, bands, rows), "profiles")
-    classes = table.where("c0 is not null").groupBy("c0", "c1").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("_k0", "_k1"), F.struct(F.col("doc_id").isNull(), "doc_id", "_k1")).alias("key"), F.first("bands").alias("bands"))
+    classes = table.where("c0 is not null").groupBy("c0", "c1").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("_qn_k0", "_qn_k1"), F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1")).alias("key"), F.first("bands").alias("bands"))
     # an item's number: its class's first hash
     classes = materialise(classes.select("c0", "c1", "class_id", "key.*", "bands"), "classes")
     hubs = classes.select(F.col("c0").alias("item"), F.posexplode("bands").alias("band", "value")).select("item", F.xxhash64("band", "value").alias("hub"))
@@ -193,21 +193,21 @@ def _joined(docs: DataFrame, threshold: float, gram: int, recall: float, rows: i
     met = materialise(hubs.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub"), "met")
     clusters = components(hubs.join(met, "hub"))
     sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    members = clusters.join(sizes, "cluster").join(classes.select(F.col("c0").alias("item"), "class_id", "_k0", "_k1"), "item")
-    texts = keyed.select("_k0", "_k1", "text").join(members, ["_k0", "_k1"]).groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("class_id").alias("class_id"), F.first("text").alias("text"))
+    members = clusters.join(sizes, "cluster").join(classes.select(F.col("c0").alias("item"), "class_id", "_qn_k0", "_qn_k1"), "item")
+    texts = keyed.select("_qn_k0", "_qn_k1", "text").join(members, ["_qn_k0", "_qn_k1"]).groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("class_id").alias("class_id"), F.first("text").alias("text"))
     links = materialise(_links(texts, gram, threshold), "links")
     # groups: components of the links themselves
     groups = components(links.select("item", F.explode(F.array_union("roots", F.array("item"))).alias("hub")))
     named = materialise(groups.join(classes.select(F.col("c0").alias("item"), "class_id"), "item"), "named")
     group_ids = named.groupBy("cluster").agg(F.min("class_id").alias("group_id"))
     linked = links.select("item", F.size("linked").cast("long").alias("n_links"), F.array_sort(F.array_compact("linked")).alias("links"))
-    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", F.col("cluster").alias("_group"), "group_id"), "item")
+    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", F.col("cluster").alias("_qn_group"), "group_id"), "item")
     about = materialise(classes.select("c0", "c1", "class_id").join(linked.withColumnRenamed("item", "c0"), "c0", "left"), "about")
-    return table.select("doc_id", "_k0", "_k1", "c0", "c1").join(about, ["c0", "c1"], "left").select(
+    return table.select("doc_id", "_qn_k0", "_qn_k1", "c0", "c1").join(about, ["c0", "c1"], "left").select(
         "doc_id",
-        "_k0",
-        "_k1",
-        F.coalesce("_group", "c0", F.xxhash64("_k0", "_k1")).alias("_group"),
+        "_qn_k0",
+        "_qn_k1",
+        F.coalesce("_qn_group", "c0", F.xxhash64("_qn_k0", "_qn_k1")).alias("_qn_group"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
@@ -233,6 +233,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The input's columns, with one row of each group of ``join``: that of the least doc_id (null last)."""
     found = _joined(docs, threshold, gram, recall, rows)
-    stays = found.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k0")).alias("one")).select("one._k0", "one._k1")
+    stays = found.groupBy("_qn_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1", "_qn_k0")).alias("one")).select("one._qn_k0", "one._qn_k1")
     keyed = docs.select("*", *row_key())
-    return keyed.join(materialise(stays, "stays"), ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).select(*docs.columns)
+    return keyed.join(materialise(stays, "stays"), ["_qn_k0", "_qn_k1"], "left_semi").dropDuplicates(["_qn_k0", "_qn_k1"]).select(*quoted(docs.columns))

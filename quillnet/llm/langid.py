@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import concatenated, map_slices
+from .common import concatenated, map_slices, others, quoted, widened
 
 UNITS = 12
 SPAN = 64
@@ -37,16 +37,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes (SPAN x spans), which of them belong to a text, and each span's text."""
+def spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each span of SPAN bytes begins, where its text ends, and which text that is."""
     size = np.diff(offsets)
     n = -(-size // SPAN)
     who = np.repeat(np.arange(len(size)), n)
     first = np.repeat(offsets[:-1] - SPAN * (np.cumsum(n) - n), n) + SPAN * np.arange(len(who))
-    padded = np.concatenate([FOLD[buf], np.full(SPAN, 32, np.uint8)])
+    return first, offsets[1:][who], who
+
+
+def span_bytes(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes (SPAN x spans), spaces after a text's end, and which of them are letters of the text."""
     at = first[None, :] + np.arange(SPAN)[:, None]
-    inside = at < offsets[1:][who][None, :]
-    return np.where(inside, padded[np.minimum(at, len(padded) - 1)], np.uint8(32)), inside, who
+    inside = at < end[None, :]
+    data = np.where(inside, FOLD[buf[np.minimum(at, len(buf) - 1)]], np.uint8(32))
+    return data, LETTER[data] & inside
 
 
 class Net:
@@ -135,11 +140,13 @@ def softmax(x: np.ndarray, axis: int) -> np.ndarray:
 def train(texts: list[bytes], labels: list[int], classes: int, steps: int = STEPS, seed: int = 7) -> Net:
     """Adam on the mean cross entropy of the letters' positions, languages drawn equally often."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    data, inside, who = spans(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    live = LETTER[data] & inside
+    first, end, who = spans(offsets)
+    net, rng = Net(classes, seed), np.random.default_rng(seed)
+    if not len(who):
+        return net
+    data, live = span_bytes(np.frombuffer(b"".join(texts), np.uint8), first, end)
     good = live.sum(axis=0) >= SPAN // 8
     data, live, y = data[:, good], live[:, good], np.array(labels)[who[good]]
-    net, rng = Net(classes, seed), np.random.default_rng(seed)
     of = [np.flatnonzero(y == k) for k in range(classes)]
     of = [x for x in of if len(x)]
     if not of:
@@ -166,10 +173,9 @@ def probabilities(net: Net, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean label probabilities over the letters of each text; zeros where there is none."""
     classes, n = len(net.w["c"]), len(offsets) - 1
     total, count = np.zeros((classes, n)), np.zeros(n)
-    data, inside, who = spans(buf, offsets)
-    for start in range(0, data.shape[1], WIDE):
-        part = np.ascontiguousarray(data[:, start : start + WIDE])
-        live = LETTER[part] & inside[:, start : start + WIDE]
+    first, end, who = spans(offsets)
+    for start in range(0, len(who), WIDE):
+        part, live = span_bytes(buf, first[start : start + WIDE], end[start : start + WIDE])
         out, _ = net.forward(part)
         np.exp(np.minimum(out, 60, out=out), out=out)
         out *= (live / out.sum(axis=1))[:, None, :]
@@ -212,18 +218,17 @@ def identify(docs: DataFrame, model: tuple[list[str], Net] | None = None) -> Dat
     where no language was learned.  Equal texts get equal labels.
     """
     langs, net = model or fit(docs)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = others(docs, "lang_pred", "score")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = concatenated(batch.column("text"))
         p = probabilities(net, buf, offsets)
         best = p.argmax(axis=1)
-        ok = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
+        ok = batch.column("_qn_lettered").to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
         names = [langs[k] if good else "und" for k, good in zip(best.tolist(), ok.tolist(), strict=True)]
         score = np.where(ok, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
 
-    wanted = docs.select(*rest, lettered.alias("_lettered"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return map_slices(wanted, run, f"{fields}, lang_pred string, score double")
+    wanted = docs.select(*quoted(rest), lettered.alias("_qn_lettered"))
+    return map_slices(wanted, run, widened(docs, rest, "lang_pred string, score double"))

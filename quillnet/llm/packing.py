@@ -69,10 +69,10 @@ def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame
         end = np.array([END], "<u4").tobytes()
         ids = [x + end for x in word_coder(path).encode(texts_as_bytes(batch.column("text")))]
         crcs = [[zlib.crc32(memoryview(x)[k : k + 4 * sequence]) for k in range(0, len(x), 4 * sequence)] for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k1"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "_k1", "doc_tokens", "crcs"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_qn_k1"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "_qn_k1", "doc_tokens", "crcs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", row_key()[1], "text")
-    return map_slices(rows, run, "doc_id long, _k1 long, doc_tokens long, crcs array<long>", holds=f"words {path}")
+    return map_slices(rows, run, "doc_id long, _qn_k1 long, doc_tokens long, crcs array<long>", holds=f"words {path}")
 
 
 # the cutting-stock problem
@@ -185,8 +185,8 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAI
     groups = max(64, n_rows // GROUP_ROWS)
     # rank groups: by key, so that a recomputed task deals the same rows
     rows = rows.select(
-        "doc_id", "_k1", "doc_tokens", "crcs",
-        F.pmod(F.xxhash64("doc_id", "_k1"), F.lit(groups)).cast("int").alias("_g"),
+        "doc_id", "_qn_k1", "doc_tokens", "crcs",
+        F.pmod(F.xxhash64("doc_id", "_qn_k1"), F.lit(groups)).cast("int").alias("_g"),
         F.floor(F.col("doc_tokens") / sequence).cast("long").alias("_full"),
         F.ceil((F.col("doc_tokens") % sequence) / grain).cast("int").alias("_u"),
     )
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAI
     # first number of the full sequences of each rank group
     by_group = counts.groupBy("_g").agg(F.sum("full").alias("full"))
     fulls = by_group.select("_g", (F.coalesce(F.sum("full").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + used).alias("_first"))
-    order = ["doc_id", "_k1"]
+    order = ["doc_id", "_qn_k1"]
     within = rows.select(
         "*",
         (F.row_number().over(Window.partitionBy("_g", "_u").orderBy(*order)) - 1).alias("_rank"),

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others, quoted
+
 KEY = "quillnet"
 ROUNDS = 10
 
@@ -179,11 +181,12 @@ def pseudonymise(docs: DataFrame) -> DataFrame:
     Null text stays null, with 0 replaced; text without candidates stays as it is.
     """
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    rest = [c for c in docs.columns if c != "n_replaced"]
-    step = docs.select(*rest, found.alias("_found"))
-    step = step.select(*rest, "_found", F.when(F.size("_found") > 0, F.transform("_found", pseudonym)).alias("_new"))
+    rest = others(docs, "n_replaced")
+    own = quoted(rest)
+    step = docs.select(*own, found.alias("_qn_found"))
+    step = step.select(*own, "_qn_found", F.when(F.size("_qn_found") > 0, F.transform("_qn_found", pseudonym)).alias("_qn_new"))
     pieces = F.split("text", ANY, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, "_new", lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))))
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(joined)
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])), F.lit(0))
-    return step.select(*[text.alias("text") if c == "text" else F.col(c) for c in rest], F.greatest(F.when(F.col("_new").isNull(), 0).otherwise(changed), F.lit(0)).cast("long").alias("n_replaced"))
+    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, "_qn_new", lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))))
+    text = F.when(F.col("_qn_new").isNull(), F.col("text")).otherwise(joined)
+    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_qn_found", "_qn_new"), lambda x: x["_qn_found"] != x["_qn_new"])), F.lit(0))
+    return step.select(*[text.alias(c) if c.lower() == "text" else col for c, col in zip(rest, own, strict=True)], F.greatest(F.when(F.col("_qn_new").isNull(), 0).otherwise(changed), F.lit(0)).cast("long").alias("n_replaced"))

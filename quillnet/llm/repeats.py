@@ -177,11 +177,11 @@ def _run_table(docs: DataFrame, kind: Kind) -> DataFrame:
         r = runs(kind, *symbols(kind, buf, offsets))
         row = pa.array(r["row"].astype(np.int64))
         return pa.RecordBatch.from_arrays(
-            [batch.column("_k0").take(row), batch.column("_k1").take(row), pa.array(r["h"], pa.int64()), pa.array(r["g"], pa.int64()), pa.array(r["s"].astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["d"].astype(np.int16))],
-            ["_k0", "_k1", "h", "g", "s", "n", "d"],
+            [batch.column("_qn_k0").take(row), batch.column("_qn_k1").take(row), pa.array(r["h"], pa.int64()), pa.array(r["g"], pa.int64()), pa.array(r["s"].astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["d"].astype(np.int16))],
+            ["_qn_k0", "_qn_k1", "h", "g", "s", "n", "d"],
         )
 
-    return map_slices(docs, fn, "_k0 long, _k1 long, h long, g long, s int, n short, d short", limit=SCAN_BYTES)
+    return map_slices(docs, fn, "_qn_k0 long, _qn_k1 long, h long, g long, s int, n short, d short", limit=SCAN_BYTES)
 
 
 Solver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -189,8 +189,8 @@ Solver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _contexts(picked: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
     """The content of each picked run: its bytes, or its words' codes."""
-    lists = picked.groupBy("_k0", "_k1").agg(F.collect_list(F.struct("h", "s", "n", "d", "crowded")).alias("picked"))
-    joined = docs.join(lists, ["_k0", "_k1"]).select("_k0", "_k1", "text", "picked")
+    lists = picked.groupBy("_qn_k0", "_qn_k1").agg(F.collect_list(F.struct("h", "s", "n", "d", "crowded")).alias("picked"))
+    joined = docs.join(lists, ["_qn_k0", "_qn_k1"]).select("_qn_k0", "_qn_k1", "text", "picked")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         buf, offsets = concatenated(batch.column("text"))
@@ -202,9 +202,9 @@ def _contexts(picked: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
         start = at[row.to_numpy()] + s
         source = codes if kind.words else buf
         ctx = [source[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + kind.window).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("_k0").take(row), batch.column("_k1").take(row), *(flat.field(c) for c in ("h", "s", "n", "d", "crowded")), pa.array(ctx, pa.binary())], ["_k0", "_k1", "h", "s", "n", "d", "crowded", "ctx"])
+        return pa.RecordBatch.from_arrays([batch.column("_qn_k0").take(row), batch.column("_qn_k1").take(row), *(flat.field(c) for c in ("h", "s", "n", "d", "crowded")), pa.array(ctx, pa.binary())], ["_qn_k0", "_qn_k1", "h", "s", "n", "d", "crowded", "ctx"])
 
-    return map_slices(joined, fn, "_k0 long, _k1 long, h long, s int, n short, d short, crowded boolean, ctx binary", limit=SCAN_BYTES)
+    return map_slices(joined, fn, "_qn_k0 long, _qn_k1 long, h long, s int, n short, d short, crowded boolean, ctx binary", limit=SCAN_BYTES)
 
 
 def _codes(kind: Kind, data: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _codes(kind: Kind, data: np.ndarray) -> np.ndarray:
 
 
 def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
-    """Repeated windows of groups that fit a task, as stretches (_k0, _k1, a, b) of symbols."""
+    """Repeated windows of groups that fit a task, as stretches (_qn_k0, _qn_k1, a, b) of symbols."""
     unit = 8 if kind.words else 1
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
@@ -222,7 +222,7 @@ def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
         _, group = np.unique(batch.column("h").to_numpy(), return_inverse=True)
         who, at = solver(kind, data, offsets // unit, n, d, group)
         rows = pa.array(who)
-        return pa.RecordBatch.from_arrays([batch.column("_k0").take(rows).combine_chunks(), batch.column("_k1").take(rows).combine_chunks(), pa.array((s[who] + at).astype(np.int32)), pa.array((s[who] + at + kind.window).astype(np.int32))], ["_k0", "_k1", "a", "b"])
+        return pa.RecordBatch.from_arrays([batch.column("_qn_k0").take(rows).combine_chunks(), batch.column("_qn_k1").take(rows).combine_chunks(), pa.array((s[who] + at).astype(np.int32)), pa.array((s[who] + at + kind.window).astype(np.int32))], ["_qn_k0", "_qn_k1", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -243,7 +243,7 @@ def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "_k0 long, _k1 long, a int, b int")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "_qn_k0 long, _qn_k1 long, a int, b int")
 
 
 def _by_window(contexts: DataFrame, kind: Kind) -> DataFrame:
@@ -260,26 +260,26 @@ def _by_window(contexts: DataFrame, kind: Kind) -> DataFrame:
         at = (offsets[:-1] // (8 if kind.words else 1))[row] + step
         rows = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [batch.column("_k0").take(rows), batch.column("_k1").take(rows), pa.array((s[row] + step).astype(np.int32)), pa.array(mix(one.of(at, at + kind.window)).view(np.int64)), pa.array(mix(two.of(at, at + kind.window)).view(np.int64))],
-            ["_k0", "_k1", "a", "x", "y"],
+            [batch.column("_qn_k0").take(rows), batch.column("_qn_k1").take(rows), pa.array((s[row] + step).astype(np.int32)), pa.array(mix(one.of(at, at + kind.window)).view(np.int64)), pa.array(mix(two.of(at, at + kind.window)).view(np.int64))],
+            ["_qn_k0", "_qn_k1", "a", "x", "y"],
         )
 
-    windows = map_slices(contexts.select("_k0", "_k1", "s", "n", "ctx"), fn, "_k0 long, _k1 long, a int, x long, y long", column="ctx", limit=1 << 20)
+    windows = map_slices(contexts.select("_qn_k0", "_qn_k1", "s", "n", "ctx"), fn, "_qn_k0 long, _qn_k1 long, a int, x long, y long", column="ctx", limit=1 << 20)
     windows = materialise(windows, "windows")
     twice = materialise(windows.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"), "twice")
-    return windows.join(twice, ["x", "y"]).select("_k0", "_k1", "a", (F.col("a") + kind.window).alias("b"))
+    return windows.join(twice, ["x", "y"]).select("_qn_k0", "_qn_k1", "a", (F.col("a") + kind.window).alias("b"))
 
 
 def repeated(docs: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
-    """For rows (_k0, _k1, text): the row's keys and ``covered``, an array of stretches (a, b) of symbols whose
+    """For rows (_qn_k0, _qn_k1, text): the row's keys and ``_qn_covered``, an array of stretches (a, b) of symbols whose
     union is what repeated windows cover.  Rows without any are absent.  Equal keys are repeated rows."""
     table = materialise(_run_table(docs, kind), "runs")
     # tables on both sides let the engine split a partition that one hot anchor fills
     often = materialise(table.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
     hot = materialise(table.join(often, "h"), "anchors")
-    kinds = hot.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("_k0", "_k1", "s", "n", "d")).alias("one"))
+    kinds = hot.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("_qn_k0", "_qn_k1", "s", "n", "d")).alias("one"))
     kinds = materialise(kinds, "kinds")
-    settled = hot.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("_k0", "_k1", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + kind.window).alias("b"))
+    settled = hot.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("_qn_k0", "_qn_k1", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + kind.window).alias("b"))
     open_ = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h", (F.col("m") > CROWD).alias("crowded"))
     open_ = materialise(open_, "open")
     picked = kinds.join(open_, "h").select("h", "one.*", "crowded")
@@ -290,7 +290,7 @@ def repeated(docs: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("_k0", "_k1").agg(F.collect_list(F.struct("a", "b")).alias("covered"))
+    return every.groupBy("_qn_k0", "_qn_k1").agg(F.collect_list(F.struct("a", "b")).alias("_qn_covered"))
 
 
 def union_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, row_key, texts_as_bytes
+from .common import map_slices, others, quoted, row_key, texts_as_bytes, widened
 from .repeats import POWERS2, Kind, Prefix, joined, mix, repeated, union_of
 
 WORDS = Kind(window=35, seed=8, words=True)
@@ -45,13 +45,13 @@ def remove_passages(docs: DataFrame, kind: Kind = WORDS) -> DataFrame:
     Removed is every word that a repeated window covers.  A null text has no
     words; rows that repeat count as occurrences of their own.
     """
-    rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    keyed = docs.select(*rest, *row_key())
-    covered = repeated(keyed.select("_k0", "_k1", "text"), kind, by_extension)
+    rest = others(docs, "n_words", "n_removed", "kept")
+    keyed = docs.select(*quoted(rest), *row_key())
+    covered = repeated(keyed.select("_qn_k0", "_qn_k1", "text"), kind, by_extension)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, count, removed = [], [], []
-        for text, c in zip(texts_as_bytes(batch.column("text")), batch.column("covered"), strict=True):
+        for text, c in zip(texts_as_bytes(batch.column("text")), batch.column("_qn_covered"), strict=True):
             words = text.split()
             count.append(len(words))
             if c.is_valid:
@@ -62,9 +62,8 @@ def remove_passages(docs: DataFrame, kind: Kind = WORDS) -> DataFrame:
             kept.append(b" ".join(words))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [*rest, "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    wide = keyed.join(covered, ["_k0", "_k1"], "left").select(*rest, "covered")
-    return map_slices(wide, fn, f"{fields}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    wide = keyed.join(covered, ["_qn_k0", "_qn_k1"], "left").select(*quoted(rest), "_qn_covered")
+    return map_slices(wide, fn, widened(docs, rest, "n_words long, n_removed long, kept binary")).withColumn("kept", F.col("kept").cast("string"))
 
 
 def digest(result: DataFrame) -> DataFrame:

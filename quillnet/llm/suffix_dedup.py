@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, row_key, texts_as_bytes
+from .common import map_slices, others, quoted, row_key, texts_as_bytes, widened
 from .repeats import BYTE_CODES, Kind, Prefix, joined, repeated, union_of
 
 BYTES = Kind(window=200, seed=32)
@@ -129,14 +129,14 @@ def remove_repeats(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
     keeps nothing; rows that repeat count as occurrences of their own, so each of
     two equal long texts goes.  Cuts may fall inside a character.
     """
-    rest = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    keyed = docs.select(*rest, *row_key())
-    covered = repeated(keyed.select("_k0", "_k1", "text"), kind, by_suffixes)
+    rest = others(docs, "n_bytes", "n_removed", "n_spans", "kept")
+    keyed = docs.select(*quoted(rest), *row_key())
+    covered = repeated(keyed.select("_qn_k0", "_qn_k1", "text"), kind, by_suffixes)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf = texts_as_bytes(batch.column("text"))
         kept, removed, spans = [], [], []
-        for text, c in zip(buf, batch.column("covered"), strict=True):
+        for text, c in zip(buf, batch.column("_qn_covered"), strict=True):
             if c.is_valid:
                 a, b = union_of(*(c.values.field(x).to_numpy().astype(np.int64) for x in ("a", "b")))
                 kept.append(_cut(text, a, b))
@@ -147,9 +147,8 @@ def remove_repeats(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
             removed.append(len(text) - len(kept[-1]))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([len(t) for t in buf], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    wide = keyed.join(covered, ["_k0", "_k1"], "left").select(*rest, "covered")
-    return map_slices(wide, fn, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    wide = keyed.join(covered, ["_qn_k0", "_qn_k1"], "left").select(*quoted(rest), "_qn_covered")
+    return map_slices(wide, fn, widened(docs, rest, "n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def digest(result: DataFrame) -> DataFrame:
