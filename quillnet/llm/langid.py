@@ -155,7 +155,11 @@ def train(texts: list[bytes], labels: list[int], classes: int, steps: int = STEP
     m2 = {k: np.zeros_like(v) for k, v in net.w.items()}
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(x, BATCH // len(of) + 1) for x in of])
-        x, mask = data[:, pick], live[:, pick][:, None, :]
+        x, mask = data[:, pick], live[:, pick]
+        # half of the spans end early, as short texts do
+        stop = np.where(rng.random(len(pick)) < 0.5, rng.integers(4, SPAN, len(pick)), SPAN)
+        on = np.arange(SPAN)[:, None] < stop[None, :]
+        x, mask = np.where(on, x, np.uint8(32)), (mask & on)[:, None, :]
         out, mem = net.forward(x, keep=True)
         d = softmax(out, 1)
         d[:, y[pick], np.arange(len(pick))] -= 1
