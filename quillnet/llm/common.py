@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
@@ -103,14 +103,19 @@ def release(but: str | None = None) -> None:
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
     """``mapInArrow`` with batches cut to a bounded number of text bytes; ``holds`` names the large object that the tasks keep."""
 
+    # columns travel under plain names, as theirs may hold any character
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, plain_out = df.columns, [f"o{k}" for k in range(len(schema))]
+    plain = StructType([StructField(n, f.dataType, True) for n, f in zip(plain_out, schema.fields, strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(holds)
         for batch in batches:
-            for piece in slices(batch, column, limit):
+            for piece in slices(pa.RecordBatch.from_arrays(batch.columns, names), column, limit):
                 if (out := fn(piece)) is not None:
-                    yield out
+                    yield pa.RecordBatch.from_arrays(out.columns, plain_out)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"i{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*schema.names)
 
 
 def texts_as_bytes(col: pa.Array) -> list[bytes]:
