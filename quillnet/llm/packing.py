@@ -25,6 +25,7 @@ SEQUENCE = 2048
 GRAIN = 8
 END = 1
 CACHE = 1_000_000
+_MARKS = b",.!?;:#%$&*"
 #: Rows of one rank group, and pricing rounds of the linear program.
 GROUP_ROWS = 20_000
 ROUNDS = 4_000
@@ -50,10 +51,25 @@ class WordCoder:
             self.chunks = {}
         split = [t.split() for t in texts]
         fresh = [c for c in set().union(*split) if c not in self.chunks]
-        for start in range(0, len(fresh), 20_000):
-            part = fresh[start : start + 20_000]
+        parts, lacking = [], set()
+        for c in fresh:
+            # letters and digits part from the marks after them, and case does not count; special tokens hold a bar
+            head = c.rstrip(_MARKS)
+            if not head[-1:].isalnum() or b"|" in c:
+                head, low = c, c
+            else:
+                low = head.lower()
+            tail = c[len(head) :]
+            parts.append((c, low, tail))
+            lacking.add(low)
+            lacking.add(tail)
+        lacking = [c for c in lacking if c not in self.chunks]
+        for start in range(0, len(lacking), 20_000):
+            part = lacking[start : start + 20_000]
             for c, e in zip(part, self.coder.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
                 self.chunks[c] = array("I", e.ids).tobytes()
+        for c, low, tail in parts:
+            self.chunks[c] = self.chunks[low] + self.chunks[tail]
         get = self.chunks.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
