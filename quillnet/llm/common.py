@@ -96,8 +96,14 @@ def release(but: str | None = None) -> None:
         for k in [k for k in _HELD if k != but]:
             del _HELD[k]
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task then holds only what it keeps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
@@ -114,6 +120,8 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
             for piece in slices(pa.RecordBatch.from_arrays(batch.columns, names), column, limit):
                 if (out := fn(piece)) is not None:
                     yield pa.RecordBatch.from_arrays(out.columns, plain_out)
+        batch = piece = out = None
+        trim()
 
     return df.toDF(*[f"i{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*schema.names)
 
