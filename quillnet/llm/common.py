@@ -18,6 +18,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch on its way to a Python worker; Spark itself counts rows only, whatever their length.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return there
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, where the session does not bound them."""
+    if not spark.conf.get(BATCH_SETTING, None):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
@@ -109,6 +117,7 @@ def trim() -> None:
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES, holds: str | None = None) -> DataFrame:
     """``mapInArrow`` with batches cut to a bounded number of text bytes; ``holds`` names the large object that the tasks keep."""
 
+    bounded_batches(df.sparkSession)
     # columns travel under plain names, as theirs may hold any character
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names, plain_out = df.columns, [f"o{k}" for k in range(len(schema))]

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concatenated, map_slices, materialise, trim
+from .common import bounded_batches, concatenated, map_slices, materialise, trim
 
 CROWD = 2_000
 #: Symbols that are hashed at once, and bytes of contexts that a solver gets at once.
@@ -245,6 +245,7 @@ def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
         held = []
         trim()
 
+    bounded_batches(contexts.sparkSession)
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "_qn_k0 long, _qn_k1 long, a int, b int")
 
 
