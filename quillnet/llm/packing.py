@@ -34,7 +34,7 @@ ROUNDS = 4_000
 class WordCoder:
     """Ids by the tokenizers library, for vocabularies that never join across white space; chunks are cached."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,11 +43,12 @@ class WordCoder:
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         self.coder.no_padding()
+        self.cache = cache
         self.chunks: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > self.cache:
             self.chunks = {}
         split = [t.split() for t in texts]
         fresh = [c for c in set().union(*split) if c not in self.chunks]
@@ -74,21 +75,24 @@ class WordCoder:
         return [b"".join(map(get, s)) for s in split]
 
 
-def word_coder(path: str) -> WordCoder:
-    return held(f"words {path}", lambda: WordCoder(path))
+def word_coder(path: str, cache: int = CACHE) -> WordCoder:
+    return held(f"words {path} {cache}", lambda: WordCoder(path, cache))
 
 
-def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """Per row: its key, tokens with the end id, and a checksum of each piece (full sequences, then the remainder)."""
+def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE, cache: int = CACHE) -> DataFrame:
+    """Per row: its key, tokens with the end id, and a checksum of each piece (full sequences, then the remainder).
+
+    A worker keeps about ``cache`` encoded chunks; fewer take less memory and more time, and change no id.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([END], "<u4").tobytes()
-        ids = [x + end for x in word_coder(path).encode(texts_as_bytes(batch.column("text")))]
+        ids = [x + end for x in word_coder(path, cache).encode(texts_as_bytes(batch.column("text")))]
         crcs = [[zlib.crc32(memoryview(x)[k : k + 4 * sequence]) for k in range(0, len(x), 4 * sequence)] for x in ids]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_qn_k1"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "_qn_k1", "doc_tokens", "crcs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", row_key()[1], "text")
-    return map_slices(rows, run, "doc_id long, _qn_k1 long, doc_tokens long, crcs array<long>", holds=f"words {path}")
+    return map_slices(rows, run, "doc_id long, _qn_k1 long, doc_tokens long, crcs array<long>", holds=f"words {path} {cache}")
 
 
 # the cutting-stock problem
@@ -187,7 +191,7 @@ def cutting_patterns(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAIN, cache: int = CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     A null or empty text is the end id alone.  Rows that repeat, or whose doc_id
@@ -196,7 +200,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAI
     """
     spark = docs.sparkSession
     capacity = sequence // grain
-    rows = materialise(tokenised(docs, path, sequence), "tokens")
+    rows = materialise(tokenised(docs, path, sequence, cache), "tokens")
     n_rows = rows.count()
     groups = max(64, n_rows // GROUP_ROWS)
     # rank groups: by key, so that a recomputed task deals the same rows
