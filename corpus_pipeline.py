@@ -15,6 +15,8 @@ from quillnet.llm.common import materialise
 
 #: Documents whose language is less sure than this are rejected.
 LEAST_SCORE = 0.35
+#: Encoded chunks that a worker of the last stage keeps: fewer than packing alone would, as the earlier stages fill the executors.
+CACHED_CHUNKS = 200_000
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -48,7 +50,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=CACHED_CHUNKS)
 
 
 STAGES = [
