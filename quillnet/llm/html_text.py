@@ -38,9 +38,15 @@ BAD_WORDS = "ad ads advert advertisement banner sponsor promo menu nav navbar na
 GOOD_WORDS = "article content post entry story body main text prose".split()
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|title|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+# elements whose whole content is left out; those of the second line also end with an element around them, drawings also before an element of text
+_FENCED = set("template object select".split())
+_OPEN = set("canvas svg math".split())
+_DRAWN = {"svg", "math"}
+_DRAWN_TEXT = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_BREAKS = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section aside header footer nav".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _INLINE, _VOID, _HIDDEN = set(INLINE), set(VOID), set(HIDDEN)
@@ -56,6 +62,43 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _partners(tags: list[re.Match]) -> dict[int, int]:
+    """The closing tag of each template, object and select that has one."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in _FENCED}
+    for k, m in enumerate(tags):
+        name = (m.group(3) or "").lower()
+        if name in _FENCED:
+            if not m.group(2):
+                opened[name].append(k)
+            elif opened[name]:
+                out[opened[name].pop()] = k
+    return out
+
+
+def _left_out(tags: list[re.Match], k: int, name: str, around: set[str]) -> tuple[int, bool]:
+    """Where the content of tag k's element ends: the tag there, and whether it is the element's own."""
+    inside: dict[str, int] = {}
+    for j in range(k + 1, len(tags)):
+        m = tags[j]
+        other = (m.group(3) or "").lower()
+        if not other:
+            continue
+        if m.group(2):
+            if inside.get(other):
+                inside[other] -= 1
+            elif other == name:
+                return j, True
+            elif other in around:
+                return j, False
+            continue
+        if name in _DRAWN and other in _BREAKS and not any(inside.get(x) for x in _DRAWN_TEXT):
+            return j, False
+        if other not in _VOID and not m.group(4).endswith("/"):
+            inside[other] = inside.get(other, 0) + 1
+    return len(tags), False
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order: the path of enclosing block elements (with class words), decoded text, linked characters."""
     out: list[Block] = []
@@ -72,7 +115,12 @@ def blocks_of(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
+    tags = list(_TAG.finditer(page))
+    partners = _partners(tags)
+    go_on = 0
+    for k, m in enumerate(tags):
+        if k < go_on:
+            continue
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
@@ -88,22 +136,29 @@ def blocks_of(page: str) -> list[Block]:
             elif name == "br":
                 text.append(" ")
             continue
+        if not m.group(2) and (name in _FENCED or name in _OPEN):
+            if name in _DRAWN and m.group(4).endswith("/"):
+                continue
+            last, own = (partners[k], True) if k in partners else _left_out(tags, k, name, {n for n, _ in stack})
+            go_on = last + own
+            at = len(page) if last == len(tags) else tags[last].end() if own else tags[last].start()
+            continue
         flush()
         link = False
         if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            for j in range(len(stack) - 1, -1, -1):
+                if stack[j][0] == name:
+                    del stack[j:]
                     break
             continue
         if name in _P_CLOSERS and stack and stack[-1][0] == "p":
             stack.pop()
         if name in _ALONE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _FENCE.get(name, ()):
+            for j in range(len(stack) - 1, -1, -1):
+                if stack[j][0] in _FENCE.get(name, ()):
                     break
-                if stack[k][0] in _ALONE[name]:
-                    del stack[k:]
+                if stack[j][0] in _ALONE[name]:
+                    del stack[j:]
                     break
         if name in _VOID:
             continue

@@ -149,6 +149,23 @@ def test_html_text(spark):
     assert html_text.extract(table.where("false"), net).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<article><p>One</p><svg-icon name="a"></svg-icon><p>Two</p></article>', ["One", "Two"]),
+        ("<title-card><p>One</p></title-card><select-box>Two</select-box><p>Three", ["One", "Two", "Three"]),
+        ('<p>One</p><svg viewBox="0 0 1 1" /><p>Two <math/> and</p><p>Three</p>', ["One", "Two and", "Three"]),
+        ('<p>One <svg><title>no</title><path d="x"/></svg> and</p><p>Two', ["One and", "Two"]),
+        ("<svg><path><p>One</p><svg><foreignObject><p>no</p></foreignObject></svg><p>Two", ["One", "Two"]),
+        ("<div><canvas>no</div>One<div><select><option>no</div>Two", ["One", "Two"]),
+        ("<div><template><div>no</div></div>no</template>One</div><object>no<object>no</object>no</object>Two", ["One", "Two"]),
+        ("One<script>no</script >Two<style>no</style x><p>Three", ["OneTwo", "Three"]),
+    ],
+)
+def test_html_elements_left_out_end_where_they_end(page, texts):
+    assert [b.text for b in html_text.blocks_of(page)] == texts
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()]
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0
