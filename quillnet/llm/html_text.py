@@ -45,6 +45,8 @@ _TAG = re.compile(
 _FENCED = set("template object select".split())
 _OPEN = set("canvas svg math".split())
 _DRAWN = {"svg", "math"}
+# what can stand in a head; anything else, and text, closes it
+_OF_HEAD = set("head base basefont bgsound link meta title noscript noframes script style template".split())
 _DRAWN_TEXT = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _BREAKS = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section aside header footer nav".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -123,6 +125,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m.start() > at:
             piece = page[at : m.start()]
+            if stack and stack[-1][0] == "head" and piece.strip():
+                stack.pop()
             text.append(piece)
             linked += len(piece) if link else 0
         at = m.end()
@@ -130,6 +134,8 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if stack and stack[-1][0] == "head" and not m.group(2) and name not in _OF_HEAD:
+            stack.pop()
         if name in _INLINE:
             if name == "a":
                 link = not m.group(2)
@@ -166,6 +172,8 @@ def blocks_of(page: str) -> list[Block]:
         words = sorted({w for f in found for w in _PARTS.findall("".join(f).lower())})
         stack.append((name, " ".join([name, *words])))
     if at < len(page):
+        if stack and stack[-1][0] == "head" and page[at:].strip():
+            stack.pop()
         text.append(page[at:])
     flush()
     return out

@@ -166,6 +166,23 @@ def test_html_elements_left_out_end_where_they_end(page, texts):
     assert [b.text for b in html_text.blocks_of(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "page, paths, texts",
+    [
+        ("<html><head><meta charset=u><title>t</title><body><article><p>One<p>Two", ["html body article p"] * 2, ["One", "Two"]),
+        ("<HTML><HEAD><title>t</title><link rel=x><style>p{}</style><article>One</article><p>Two", ["html article", "html p"], ["One", "Two"]),
+        ("<head><script>no</script> <b>One</b> and<p>Two", ["", "p"], ["One and", "Two"]),
+        ("<head><title>t</title>One<p>Two", ["", "p"], ["One", "Two"]),
+        ("<html><head><noscript><p>no</p></noscript><template><p>no</p></template><base href=x></head><body><p>One", ["html body p"], ["One"]),
+        ("<head><svg><path/></svg><title>t</title>One", [""], ["One"]),
+        ("<head><x-bar>One</x-bar>", ["x-bar"], ["One"]),
+    ],
+)
+def test_html_head_ends_without_its_tag(page, paths, texts):
+    got = html_text.blocks_of(page)
+    assert [b.text for b in got] == texts and [" ".join(b.path) for b in got] == paths
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()]
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0
