@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 100
 FRAGMENTS, AND, TAG_MISMATCH, CUT_OFF, OTHER = "FRAGMENTS", "AND", "TAG_MISMATCH", "CUT_OFF", "OTHER"
-_TAG = re.compile(r"<(/?)([A-Za-z_][\w.:-]*)[^<>]*?(/?)>")
+_TAG = re.compile(r"(?s:<!--.*?-->|<!\[CDATA\[.*?\]\]>)|<(/?)([A-Za-z_][\w.:-]*)[^<>]*?(/?)>")
 _AMP = re.compile(r"&(?!#?\w+;)")
+_DOC = re.compile(r"<DOC(?=[\s>]).*?(?=<DOC[\s>]|\Z)", re.S)
+_DOC_END = re.compile(r"(?s:.*</DOC\s*>)")
+_TAIL = re.compile(r"\s*</ROOT\s*>?\s*\Z")
 
 
 def find_problem(content: str) -> tuple[str, int, int] | None:
@@ -40,16 +43,20 @@ def fix_and(content: str) -> str:
 
 
 def fix_tag_mismatch(content: str) -> str:
-    """The first closing tag that does not fit gets the name of the element that is open."""
+    """Each closing tag that does not fit gets the name of the element that is open."""
     stack: list[str] = []
+    out, at = [], 0
     for m in _TAG.finditer(content):
+        if not m[2]:
+            continue
         if not m[1]:
             stack += [] if m[3] else [m[2]]
-        elif stack and stack[-1] == m[2]:
-            stack.pop()
         elif stack:
-            return f"{content[:m.start()]}</{stack[-1]}>{content[m.end():]}"
-    return content
+            name = stack.pop()
+            if name != m[2]:
+                out += [content[at : m.start()], f"</{name}>"]
+                at = m.end()
+    return "".join(out) + content[at:]
 
 
 def fix_cut_off(content: str) -> str:
@@ -60,8 +67,16 @@ def fix_cut_off(content: str) -> str:
 _FIXES = {FRAGMENTS: fix_fragments, AND: fix_and, TAG_MISMATCH: fix_tag_mismatch, CUT_OFF: fix_cut_off}
 
 
-def repair(content: str, rounds: int = ROUNDS) -> tuple[str, str, list[str]]:
-    """Repaired content, status (clean, unfixable or bound), and the classes that were repaired, in order."""
+def document_spans(content: str) -> list[tuple[int, int]]:
+    """Where each document stands, whether the file is well formed or not: from its DOC to the last DOC end before the next."""
+    out = []
+    for m in _DOC.finditer(content):
+        end = _DOC_END.match(m[0])
+        out.append((m.start(), m.start() + (end.end() if end else len(_TAIL.sub("", m[0])))))
+    return out
+
+
+def _rounds(content: str, rounds: int) -> tuple[str, str, list[str]]:
     done: list[str] = []
     for _ in range(rounds):
         if (problem := find_problem(content)) is None:
@@ -72,7 +87,26 @@ def repair(content: str, rounds: int = ROUNDS) -> tuple[str, str, list[str]]:
             return content, "unfixable", done
         content = new
         done.append(problem[0])
-    return content, "bound", done
+    return content, "bound" if find_problem(content) else "clean", done
+
+
+def repair(content: str, rounds: int = ROUNDS) -> tuple[str, str, list[str]]:
+    """Repaired content, status (clean, unfixable or bound), and the classes that were repaired, in order.
+
+    In a file that does not get clean, each of its documents is repaired by itself, and those that do not get clean stay as they are.
+    """
+    new, status, done = _rounds(content, rounds)
+    spans = document_spans(content) if status != "clean" else []
+    if len(spans) < 2:
+        return new, status, done
+    out, done, at = [], [], 0
+    for start, stop in spans:
+        mended, state, fixed = _rounds(content[start:stop], rounds)
+        if state == "clean":
+            out += [content[at:start], mended]
+            done += fixed
+            at = stop
+    return "".join(out) + content[at:], status, done
 
 
 def classify(files: DataFrame) -> DataFrame:

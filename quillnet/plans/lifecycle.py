@@ -9,13 +9,14 @@ from ..operators import cooccur, graph, mentions, report, resolve, sanitize, spa
 from ..sources import annotated
 
 
-def mentions_from_text(files: DataFrame, chain_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mentions and the entity dimension of annotated files (path, content) and coreference files."""
-    repaired = sanitize.repair_markup(files)
-    docs = annotated.parse_documents(repaired).where("error is null")
-    occurrences = spans.expand_coreferences(docs, annotated.read_chains(chain_files)).withColumn("ord", F.struct("doc", "seq"))
+def mentions_from_text(files: DataFrame, chain_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions, the entity dimension, and what failed (path, doc, error) of annotated files (path, content) and coreference files."""
+    parsed = annotated.parse_documents(sanitize.repair_markup(files))
+    chains = annotated.read_chains(chain_files)
+    failed = parsed.where("error is not null").select("path", "doc", "error").union(chains.where("error is not null").selectExpr("string(null) as path", "doc", "error"))
+    occurrences = spans.expand_coreferences(parsed.where("error is null"), chains).withColumn("ord", F.struct("doc", "seq"))
     resolved = graph._table(resolve.resolve_surfaces(occurrences), "resolved")
-    return resolve.resolved_mentions(occurrences, resolved), resolve.entity_dimension(resolved)
+    return resolve.resolved_mentions(occurrences, resolved), resolve.entity_dimension(resolved), failed
 
 
 def build_network(mention_table: DataFrame) -> DataFrame:

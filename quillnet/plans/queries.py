@@ -582,5 +582,5 @@ def _(spark, d):
 
 @query("text_network")
 def _(spark, d):
-    m, _ = lifecycle.mentions_from_text(_files(spark), spark.createDataFrame([("a.pron", fixtures.CHAINS)], "path string, content string"))
+    m, _, _ = lifecycle.mentions_from_text(_files(spark), spark.createDataFrame([("a.pron", fixtures.CHAINS)], "path string, content string"))
     return lifecycle.build_network(m)

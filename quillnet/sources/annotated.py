@@ -1,7 +1,7 @@
 """Readers of annotated markup and of coreference files.
 
 Mixed content needs a real parser, so whole files go through expat in Arrow
-batches, one file a row.  A broken file becomes a row with ``error``.
+batches, one file a row.  A broken document becomes a row with ``error``.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sanitize
+
 CORPORATION = "ORGANIZATION:CORPORATION"
 DOCS = "path string, doc string, sentences array<array<string>>, entities array<struct<type:string,sentence:int,start:int,stop:int>>, error string"
+_NAME = re.compile(r"<DOCNO>([^<]*)</DOCNO>")
 _SENTENCE = re.compile(r"\r?\n\s*")
 # Escapes of tokens, in the order in which they are resolved.
 _ESCAPES = (("\\*", "*"), ("\\/", "/"), ("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-LCB-", "{"), ("-RCB-", "}"), ("``", '"'), ("''", '"'), ("`", "'"))
@@ -116,18 +119,36 @@ def parse_markup(content: str) -> list[tuple[str, list, list]]:
     return out
 
 
+def parse_apart(content: str) -> Iterator[tuple[str | None, list | None, list | None, str | None]]:
+    """(name, sentences, entities, error) of each document; those of a file that fails as a whole are parsed one by one."""
+    try:
+        yield from [(*d, None) for d in parse_markup(content)]
+        return
+    except (expat.ExpatError, ValueError) as e:
+        error = str(e)
+    failed = False
+    for start, stop in sanitize.document_spans(content):
+        piece = content[start:stop]
+        try:
+            yield from [(*d, None) for d in parse_markup(f"<ROOT>{piece}</ROOT>")]
+        except (expat.ExpatError, ValueError) as e:
+            failed = True
+            name = _NAME.search(piece)
+            yield name and name[1].strip(), None, None, str(e)
+    if not failed:  # what is wrong lies outside of the documents
+        yield None, None, None, error
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
-    """One row per document of files (path, content); a file that fails gives one row with ``error``."""
+    """One row per document of files (path, content); a document that fails gives a row with ``error``, as does a file without any or with an error outside of them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    for name, sentences, entities in parse_markup(content or ""):
-                        rows.append((path, name, sentences, [dict(zip(("type", "sentence", "start", "stop"), e, strict=True)) for e in entities], None))
-                except (expat.ExpatError, ValueError) as e:
-                    rows.append((path, None, None, None, str(e)))
+                for name, sentences, entities, error in parse_apart(content or ""):
+                    found = None if entities is None else [dict(zip(("type", "sentence", "start", "stop"), e, strict=True)) for e in entities]
+                    rows.append((path, name, sentences, found, error))
             yield pd.DataFrame(rows, columns=["path", "doc", "sentences", "entities", "error"])
 
     return files.select("path", "content").mapInPandas(run, DOCS)

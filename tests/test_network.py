@@ -87,6 +87,34 @@ def test_repair():
     assert clean["several"][1] == "clean" and clean["clean"][2] == [] and clean["hopeless"][1] == "unfixable"
 
 
+def test_broken_documents_leave_the_others(spark):
+    corp = '<ENAMEX TYPE="ORGANIZATION:CORPORATION">%s</%s>'
+
+    def doc(name, close="ENAMEX", end=" met .\n</DOC>"):
+        return f"<DOC><DOCNO> {name} </DOCNO>\n{corp % ('Acme Co .', close)} and {corp % ('Bolt Inc.', 'ENAMEX')}{end}"
+
+    many = "".join(doc(f"m{k}", "NUMEX") for k in range(150))
+    files = {
+        "mismatches": f"<ROOT>{many}</ROOT>\n",
+        "line_end": f"<ROOT>{doc('e1')}{doc('e2', end=' met .</DOC>')}{doc('e3')}</ROOT>\n",
+        "open": f"<ROOT>{doc('o1')}{doc('o2').replace('</ENAMEX>', '', 1)}{doc('o3', 'NUMEX')}</ROOT>\n",
+        "hopeless": f"<ROOT>{doc('h1')}<DOC a=>x</DOC>{doc('h3')}</ROOT>\n",
+        "outside": f"<ROOT>{doc('x1')}</ROOT>\n",
+    }
+    files["outside"] = files["outside"].replace("<ROOT>", "<ROOT>stray", 1)
+    assert sanitize.repair(files["mismatches"])[1:] == ("clean", ["TAG_MISMATCH"])
+    assert sanitize.fix_tag_mismatch("<a><!-- </b> --><b></c></a>") == "<a><!-- </b> --><b></b></a>"
+    table = spark.createDataFrame(list(files.items()), "path string, content string")
+    found, _, failed = lifecycle.mentions_from_text(table, spark.createDataFrame([("p", fixtures.CHAINS), ("q", ")")], "path string, content string"))
+    good = {f"m{k}" for k in range(150)} | {"e1", "e3", "o1", "o3", "h1", "h3", "x1"}
+    parsed = annotated.parse_documents(sanitize.repair_markup(table)).where("error is null").collect()
+    assert {r["doc"] for r in parsed} == good and all(len(r["entities"]) == 2 for r in parsed)
+    assert {(r["path"], r["doc"]) for r in failed.collect()} == {("line_end", "e2"), ("open", "o2"), ("hopeless", None), ("outside", None), (None, None)}
+    # only documents that the coreference files name have mentions
+    named = spark.createDataFrame([("p", "".join(f"(\n{d}\n)\n" for d in sorted(good)))], "path string, content string")
+    assert {r["doc"] for r in lifecycle.mentions_from_text(table, named)[0].select("doc").distinct().collect()} == good
+
+
 def test_louvain_splits_a_dumbbell(spark):
     left = [(a, b, 1.0) for a, b in ((1, 2), (1, 3), (2, 3))]
     right = [(a, b, 1.0) for a, b in ((4, 5), (4, 6), (5, 6))]
