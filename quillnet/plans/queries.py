@@ -444,6 +444,12 @@ def _broken(spark):
     return spark.createDataFrame(list(fixtures.BROKEN.items()), "path string, content string")
 
 
+def _markup(spark, d):
+    """The broken samples, and every page."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    return _broken(spark).union(pages)
+
+
 def _chains(spark):
     return annotated.read_chains(spark.createDataFrame([("a.pron", fixtures.CHAINS)], "path string, content string"))
 
@@ -469,12 +475,12 @@ def _(spark, d):
 
 @query("wellformedness")
 def _(spark, d):
-    return sanitize.classify(_broken(spark))
+    return sanitize.classify(_markup(spark, d))
 
 
 @query("repair")
 def _(spark, d):
-    return sanitize.repair_markup(_broken(spark))
+    return sanitize.repair_markup(_markup(spark, d))
 
 
 @query("repair_ampersands", "SELECT page_id, regexp_replace(replace(html, '&', '&amp;'), '&amp;(#?\\w+;)', '&\\1', 'g') AS fixed FROM pages")
@@ -528,16 +534,22 @@ def _(spark, d):
     return _pairs(spark).select("short", "full", fit("short", "full").alias("role"))
 
 
+def _surfaces(spark, d):
+    """All names of _names(), in an order of appearance: those of the fixtures, of customers, of parts, each by its key."""
+    own = spark.createDataFrame([(x, 0, k) for k, x in enumerate(fixtures.NAMES)], "surface string, source int, key long")
+    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_name", F.lit(1), "c_custkey")
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_name", F.lit(2), "p_partkey")
+    return own.union(customers).union(parts).where("surface is not null").select("surface", F.struct("source", "key").alias("ord"))
+
+
 @query("alias_resolution")
 def _(spark, d):
-    names = spark.createDataFrame([(x, k) for k, x in enumerate(fixtures.NAMES)], "surface string, ord int")
-    return resolve.resolve_surfaces(names)
+    return resolve.resolve_surfaces(_surfaces(spark, d))
 
 
 @query("entity_dimension")
 def _(spark, d):
-    names = spark.createDataFrame([(x, k) for k, x in enumerate(fixtures.NAMES)], "surface string, ord int")
-    return resolve.entity_dimension(resolve.resolve_surfaces(names))
+    return resolve.entity_dimension(resolve.resolve_surfaces(_surfaces(spark, d)))
 
 
 # files ----------------------------------------------------------------------

@@ -1,12 +1,13 @@
 """Hand-made examples of the network operators."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
 
 from quillnet.operators import cooccur, graph, mentions, report, resolve, sanitize, spans
-from quillnet.plans import fixtures, lifecycle
+from quillnet.plans import fixtures, lifecycle, queries
 from quillnet.sources import annotated, networks
 
 HAND = [("doc1", 0, e) for e in "AB"] + [("doc1", 1, e) for e in "ABC"] + [("doc1", 2, "D")] + [("doc2", 0, e) for e in "AB"] + [("doc2", 1, e) for e in "CD"] + [("doc2", 1, "D")]
@@ -57,6 +58,22 @@ def test_alias_chains(names, expected):
     assert got == expected
 
 
+def test_fold_tries_every_entity_that_may_fit():
+    r = random.Random(3)
+    words = "Acme Bolt of and The Co. Inc. International Business Machines IBM A&P Time-Warner . & 's Sachs U.S. World PLC a I.B.M.".split()
+    names = {}
+    for _ in range(150):
+        x = " ".join(r.choice(words) for _ in range(r.randint(1, 4)))
+        for y in (x, "".join(w[0] for w in x.split())):
+            names.setdefault(y.lower(), y)
+    entities, ids = [], []
+    for name in names.values():
+        k = next((i for i, e in enumerate(entities) if resolve.alias_step(e, name)), len(entities))
+        entities += [resolve.Entity(name)] * (k == len(entities))
+        ids.append(k)
+    assert resolve.fold_names(iter(names.values())) == (ids, entities)
+
+
 def test_merge_and_empty_names():
     a, b = resolve.Entity("Acme Co."), resolve.Entity("Acme", ["Acme", "ACME"])
     assert resolve.merge(a, b) and a.aliases == ["Acme Co.", "Acme", "ACME"]
@@ -87,6 +104,18 @@ def test_repair():
     assert clean["several"][1] == "clean" and clean["clean"][2] == [] and clean["hopeless"][1] == "unfixable"
 
 
+def test_names_and_markup_come_from_the_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    names = {n.lower() for n in fixtures.NAMES} | {r[0].lower() for t, c in (("customer", "c_name"), ("part", "p_name")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()}
+    got = queries.QUERIES["alias_resolution"](spark, sf).toPandas()
+    assert set(got.surface_lc) == names and len(got) == len(names)
+    made = queries.QUERIES["entity_dimension"](spark, sf).toPandas()
+    assert names == {a.lower() for aliases in made.aliases for a in aliases} and set(made.key) == set(got.key)
+    paths = {f"page {r[0]}" for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id").collect()} | set(fixtures.BROKEN)
+    for name in ("wellformedness", "repair"):
+        assert {r["path"] for r in queries.QUERIES[name](spark, sf).select("path").collect()} == paths
+
+
 def test_broken_documents_leave_the_others(spark):
     corp = '<ENAMEX TYPE="ORGANIZATION:CORPORATION">%s</%s>'
 
