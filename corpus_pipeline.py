@@ -37,10 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeated strings cover go; what a cut leaves of a split character goes too."""
+    """Bytes that repeated strings cover go; what a cut leaves of a split character goes too, but no U+FFFD of the input."""
     kept = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    return _with_text(kept.select(*docs.columns, "kept"), text).select(*docs.columns)
+    whole = lambda part: F.regexp_replace(F.make_valid_utf8(part.cast("string")), "\ufffd", "")
+    # one letter a byte, parted where the three bytes of U+FFFD stand
+    parts = F.split(F.decode("kept", "ISO-8859-1"), "\xef\xbf\xbd")
+    own = F.array_join(F.transform(parts, lambda p: whole(F.encode(p, "ISO-8859-1"))), "\ufffd")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).when(F.col("text").contains("\ufffd"), own).otherwise(whole(F.col("kept")))
+    return _with_text(kept.select(*docs.columns, "kept", "n_removed"), text).select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,3 +346,16 @@ def test_pipeline(spark):
     texts = [r["text"] for r in out.collect()]
     assert len(texts) > 0.8 * docs.count()
     assert c.run(spark, SF).select("doc_id").distinct().count() == out.count()
+
+
+def test_pipeline_keeps_replacement_characters_of_the_input(spark):
+    import corpus_pipeline as c
+
+    once, twice = prose(30, 31), "é" + prose(80, 32)[:300]
+    # the two repeats are preceded by characters that share their last byte, so that both cuts split a character
+    texts = [f"a \ufffd{once}\ufffd", f"{prose(9, 33)} \ufffdx \ufffd" + "\u00e9" + twice, f"{prose(9, 34)} \u0129" + twice, None, ""]
+    table = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in c.repeated_substrings(spark, table, SF).collect()}
+    want = [texts[0], f"{prose(9, 33)} \ufffdx \ufffd", f"{prose(9, 34)} ", None, ""]
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate(want))
+    assert all(v[1] == len(v[0]) for v in got.values() if v[0] is not None)
