@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quillnet-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="quillnet-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in this process."""
+    if there := spark.conf.get("spark.checkpoint.dir", None):
+        return there
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder()
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the batches that go to Python workers by bytes, where the session does not bound them."""
+    """Bound the batches that go to Python workers by bytes, where the session does not bound them (the setting stays, as plans run later)."""
     if not spark.conf.get(BATCH_SETTING, None):
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
@@ -107,6 +114,17 @@ def release(but: str | None = None) -> None:
         trim()
 
 
+@lru_cache(maxsize=1)
+def frugal() -> None:
+    """Large arrays of this worker live in pages of their own, which go back to the system as soon as they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        # of glibc's malloc.h: M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX
+        for name, value in ((-1, 4 << 20), (-3, 1 << 20), (-8, 2)):
+            libc.mallopt(name, value)
+
+
 def trim() -> None:
     """Give freed memory back to the system; a worker that waits for its next task then holds only what it keeps."""
     pa.default_memory_pool().release_unused()
@@ -124,6 +142,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     plain = StructType([StructField(n, f.dataType, True) for n, f in zip(plain_out, schema.fields, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         release(holds)
         for batch in batches:
             for piece in slices(pa.RecordBatch.from_arrays(batch.columns, names), column, limit):

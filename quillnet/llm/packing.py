@@ -11,8 +11,11 @@ their length, and ranges of ranks are assigned to the patterns' slots.
 
 from __future__ import annotations
 
+import re
+import warnings
 import zlib
 from array import array
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,44 @@ SEQUENCE = 2048
 GRAIN = 8
 END = 1
 CACHE = 1_000_000
+#: ASCII marks that part from the word before them.
 _MARKS = b",.!?;:#%$&*"
 #: Rows of one rank group, and pricing rounds of the linear program.
 GROUP_ROWS = 20_000
 ROUNDS = 4_000
 
 
+#: The shape of vocabularies whose words can be encoded one by one (lower case, white space dropped, words ended by a mark).
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_WORD_END = "</w>"
+#: Lower-case words of ASCII and Latin-1 letters: one word to the vocabulary's pattern, and unchanged by its normalizers.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Words of one joined text.
+JOINED = 500
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a vocabulary file never joins across white space, ignores case and ends each word with a mark."""
+    try:
+        split, normal = spec["pre_tokenizer"]["pretokenizers"][0], [n["type"] for n in spec["normalizer"]["normalizers"]]
+        model = spec["model"]
+        return split["pattern"] == {"Regex": _WORD_PATTERN} and normal == _NORMALIZERS and model["end_of_word_suffix"] == _WORD_END and not model.get("ignore_merges")
+    except (KeyError, TypeError, IndexError):
+        return False
+
+
 class WordCoder:
-    """Ids by the tokenizers library, for vocabularies that never join across white space; chunks are cached."""
+    """Ids by the tokenizers library.
+
+    Where the vocabulary allows it, texts are cut at white space and each chunk's
+    ids are kept.  New plain words are encoded many to a text: as each ends with a
+    token of its own kind, the ids part again, which their lengths confirm.
+    Other vocabularies get whole texts.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,35 +75,69 @@ class WordCoder:
         self.coder.no_truncation()
         self.coder.no_padding()
         self.cache = cache
+        # chunks met lately, and those met before them
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cut = by_words(spec)
+        if self.cut:
+            vocab = spec["model"]["vocab"]
+            self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.ends = np.zeros(len(self.size), bool)
+            for token, i in vocab.items():
+                self.ends[i] = token.endswith(_WORD_END)
+                self.size[i] = len(token.removesuffix(_WORD_END))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words, encoded as one text."""
+        raw = self._ids([b" ".join(words).decode()])[0]
+        ids = np.frombuffer(raw, np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        size = np.add.reduceat(self.size[ids], np.concatenate([[0], stop[:-1]])) if len(stop) else stop
+        if len(stop) != len(words) or size.tolist() != list(map(len, words)):
+            return self._ids([w.decode() for w in words])
+        cuts = (4 * stop).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        chunks = self.chunks
+        # letters and digits part from the marks after them, and case does not count; special tokens hold a bar
+        heads = [c.rstrip(_MARKS) for c in fresh]
+        lows = [h.lower() if h[-1:].isalnum() and b"|" not in c else c for c, h in zip(fresh, heads, strict=True)]
+        tails = [c[len(h) :] if low is not c else b"" for c, h, low in zip(fresh, heads, lows, strict=True)]
+        lacking = [c for c in set(lows).union(tails) if c not in chunks]
+        plain = [c for c in lacking if _PLAIN.fullmatch(c)]
+        odd = [c for c in lacking if not _PLAIN.fullmatch(c)]
+        for k in range(0, len(plain), JOINED):
+            chunks.update(zip(part := plain[k : k + JOINED], self._plain(part), strict=True))
+        for k in range(0, len(odd), 20_000):
+            chunks.update(zip(part := odd[k : k + 20_000], self._ids([c.decode() for c in part]), strict=True))
+        for c, low, tail in zip(fresh, lows, tails, strict=True):
+            if low is not c:
+                chunks[c] = chunks[low] + chunks[tail] if tail else chunks[low]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.chunks) > self.cache:
-            self.chunks = {}
+        if not self.cut:
+            return self._ids([t.decode() for t in texts])
+        if len(self.chunks) > self.cache // 2:
+            self.older, self.chunks = self.chunks, {}
         split = [t.split() for t in texts]
-        fresh = [c for c in set().union(*split) if c not in self.chunks]
-        parts, lacking = [], set()
-        for c in fresh:
-            # letters and digits part from the marks after them, and case does not count; special tokens hold a bar
-            head = c.rstrip(_MARKS)
-            if not head[-1:].isalnum() or b"|" in c:
-                head, low = c, c
-            else:
-                low = head.lower()
-            tail = c[len(head) :]
-            parts.append((c, low, tail))
-            lacking.add(low)
-            lacking.add(tail)
-        lacking = [c for c in lacking if c not in self.chunks]
-        for start in range(0, len(lacking), 20_000):
-            part = lacking[start : start + 20_000]
-            for c, e in zip(part, self.coder.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.chunks[c] = array("I", e.ids).tobytes()
-        for c, low, tail in parts:
-            self.chunks[c] = self.chunks[low] + self.chunks[tail]
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.chunks.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        unknown = {words[k] for k in new}
+        again = unknown & self.older.keys()
+        self.chunks.update((c, self.older[c]) for c in again)
+        self._learn(list(unknown - again))
+        for k in new:
+            found[k] = self.chunks[words[k]]
+        cuts = [0, *accumulate(map(len, split))]
+        return [b"".join(found[a:b]) for a, b in pairwise(cuts)]
 
 
 def word_coder(path: str, cache: int = CACHE) -> WordCoder:
@@ -92,7 +157,9 @@ def tokenised(docs: DataFrame, path: str, sequence: int = SEQUENCE, cache: int =
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_qn_k1"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "_qn_k1", "doc_tokens", "crcs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", row_key()[1], "text")
-    return map_slices(rows, run, "doc_id long, _qn_k1 long, doc_tokens long, crcs array<long>", holds=f"words {path} {cache}")
+    done = map_slices(rows, run, "doc_id long, _qn_k1 long, doc_tokens long, crcs array<long>", holds=f"words {path} {cache}")
+    # rows that repeat part by where they stand, once the table is written
+    return done.withColumn("_qn_n", F.monotonically_increasing_id())
 
 
 # the cutting-stock problem
@@ -129,7 +196,7 @@ def linear_patterns(demand: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarra
         values[sizes] = duals
         gain, pattern = price(values, capacity)
         if gain <= 1 + 1e-7:
-            break
+            return columns, x
         d = inverse @ pattern[sizes]
         ratio = np.full(m, np.inf)
         ratio[d > 1e-9] = x[d > 1e-9] / d[d > 1e-9]
@@ -141,6 +208,7 @@ def linear_patterns(demand: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarra
         others = np.arange(m) != r
         inverse[others] -= np.outer(d[others], inverse[r])
         columns[r] = pattern
+    warnings.warn(f"the linear program was not optimal after {rounds} rounds; packing goes on with its last patterns", stacklevel=2)
     return columns, x
 
 
@@ -194,19 +262,21 @@ def cutting_patterns(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAIN, cache: int = CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
-    A null or empty text is the end id alone.  Rows that repeat, or whose doc_id
-    is null, are packed as rows of their own.  An empty table gives no rows.
-    Other columns are ignored.
+    A null or empty text is the end id alone; a text of any length is cut into as
+    many full sequences as it fills, and a remainder.  Rows that repeat, or whose
+    doc_id is null, are packed as rows of their own; which of equal rows gets which
+    place follows their order in the input.  An empty table gives no rows.  Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     capacity = sequence // grain
     rows = materialise(tokenised(docs, path, sequence, cache), "tokens")
     n_rows = rows.count()
     groups = max(64, n_rows // GROUP_ROWS)
-    # rank groups: by key, so that a recomputed task deals the same rows
+    # rank groups: by what the table holds, so that a recomputed task deals the same rows
     rows = rows.select(
-        "doc_id", "_qn_k1", "doc_tokens", "crcs",
-        F.pmod(F.xxhash64("doc_id", "_qn_k1"), F.lit(groups)).cast("int").alias("_g"),
+        "doc_id", "_qn_k1", "_qn_n", "doc_tokens", "crcs",
+        F.pmod(F.xxhash64("doc_id", "_qn_k1", F.col("_qn_n") % 61), F.lit(groups)).cast("int").alias("_g"),
         F.floor(F.col("doc_tokens") / sequence).cast("long").alias("_full"),
         F.ceil((F.col("doc_tokens") % sequence) / grain).cast("int").alias("_u"),
     )
@@ -234,7 +304,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grain: int = GRAI
     # first number of the full sequences of each rank group
     by_group = counts.groupBy("_g").agg(F.sum("full").alias("full"))
     fulls = by_group.select("_g", (F.coalesce(F.sum("full").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + used).alias("_first"))
-    order = ["doc_id", "_qn_k1"]
+    order = ["doc_id", "_qn_k1", "_qn_n"]
     within = rows.select(
         "*",
         (F.row_number().over(Window.partitionBy("_g", "_u").orderBy(*order)) - 1).alias("_rank"),
