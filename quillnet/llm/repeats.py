@@ -3,22 +3,26 @@
 A window is W consecutive symbols of one row.  Winnowing picks in each window the
 least k-gram by hash as its anchor, a function of the window's content alone, so
 equal windows have equal anchors at equal offsets.  Consecutive windows with the
-same anchor form a run.  Runs are grouped by their anchor's hash:
+same anchor form a run; its content is what they span.  Runs are grouped by their
+anchor's hash h:
 
 * anchors that occur once hold no repeat and drop out by an aggregate and a join;
-* runs whose whole content equals another run's (128 bits of two hashes, and
-  their shape) are repeats throughout, whatever the size of their group;
-* groups with different contents, one or more of them occurring once, are
-  resolved on one representative of each content, by the operator's own solver
-  (suffix sort, or seed and extend), a bounded number of groups at a time;
-* groups with more than ``CROWD`` contents are resolved window by window with
-  aggregates, so no group ever has to fit in a task.
+* of each group every different content goes to the operator's own solver (suffix
+  sort, or seed and extend), with two of its occurrences if it has more than one;
+  the solver compares the symbols themselves;
+* what the solver finds in a content holds for all its occurrences.  Occurrences
+  beyond the second are told by h and a keyless 64-bit BLAKE2 digest of the
+  content, 128 bits in all;
+* an anchor with more than ``CROWD`` different contents would not fit a task.
+  Such a group is split by the content of each single window, told by a 128-bit
+  BLAKE2 digest, and windows are counted; what repeats is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, concatenated, map_slices, materialise, trim
+from .common import bounded_batches, concatenated, frugal, map_slices, materialise, texts_as_bytes, trim
 
-CROWD = 2_000
+#: Different contents of an anchor that a solver gets at once.
+CROWD = 12_000
+#: Bytes of a word up to which polynomials tell words apart.
+POLYNOMIAL = 64
 #: Symbols that are hashed at once, and bytes of contexts that a solver gets at once.
 BLOCK = 1 << 18
 SOLVE_BYTES = 8 << 20
@@ -96,12 +103,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def symbols(kind: Kind, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of the rows' symbols, and the rows' offsets among them."""
-    if not kind.words:
-        return BYTE_CODES[buf], offsets
+def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the rows begins and ends."""
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~SPACE[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
@@ -109,14 +114,62 @@ def symbols(kind: Kind, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_codes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each word: two polynomials, mixed; words beyond POLYNOMIAL bytes get a digest, as long ones can be made to collide."""
     codes = np.empty(len(start), np.uint64)
     # in stretches, to keep the tables of powers small
     for a in range(0, len(start), BLOCK):
         s, e = start[a : a + BLOCK], stop[a : a + BLOCK]
-        p = Prefix(BYTE_CODES[buf[s[0] : e[-1]]])
-        codes[a : a + BLOCK] = mix(p.of(s - s[0], e - s[0]) + (e - s).astype(np.uint64))
-    return codes | _U(1), np.searchsorted(start, offsets)
+        part = BYTE_CODES[buf[s[0] : e[-1]]]
+        one, two = (Prefix(part, p).of(s - s[0], e - s[0]) for p in (POWERS, POWERS2))
+        codes[a : a + BLOCK] = mix(one + (e - s).astype(np.uint64)) + mix(two, 0xFF51AFD7ED558CCD)
+    for k in np.flatnonzero(stop - start > POLYNOMIAL).tolist():
+        codes[k] = int.from_bytes(blake2b(buf[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return codes | _U(1)
+
+
+def symbols(kind: Kind, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the rows' symbols, and the rows' offsets among them."""
+    if not kind.words:
+        return BYTE_CODES[buf], offsets
+    start, stop = word_bounds(buf, offsets)
+    return word_codes(buf, start, stop), np.searchsorted(start, offsets)
+
+
+@dataclass
+class Rows:
+    """Rows of a batch: their bytes (words parted by one space), symbols, and where each symbol begins and ends."""
+
+    buf: np.ndarray
+    codes: np.ndarray
+    at: np.ndarray
+    start: np.ndarray | None
+    stop: np.ndarray | None
+
+    def content(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The bytes from each first symbol to each last one."""
+        a, b = (first, last + 1) if self.start is None else (self.start[first], self.stop[last])
+        data = self.buf.tobytes()
+        return [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def rows_of(kind: Kind, column: pa.Array) -> Rows:
+    if not kind.words:
+        buf, offsets = concatenated(column)
+        return Rows(buf, BYTE_CODES[buf], offsets, None, None)
+    texts = [b" ".join(t.split()) for t in texts_as_bytes(column)]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    start, stop = word_bounds(buf, offsets)
+    return Rows(buf, word_codes(buf, start, stop), np.searchsorted(start, offsets), start, stop)
+
+
+def digests(contents: list[bytes], size: int = 8) -> np.ndarray:
+    """64-bit digests of contents, ``size // 8`` columns of them."""
+    return np.frombuffer(b"".join([blake2b(c, digest_size=size).digest() for c in contents]), np.int64).reshape(len(contents), size // 8)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -129,7 +182,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(kind: Kind, codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of windows with the same anchor: row, first window, number of windows, anchor's offset, hashes h (anchor) and g (all content)."""
+    """Runs of windows with the same anchor: row, first window, number of windows, anchor's offset, hash h of the anchor."""
     parts = []
     row = 0
     while row < len(offsets) - 1:
@@ -142,12 +195,12 @@ def runs(kind: Kind, codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.nda
                 piece = codes[a : min(hi, a + BLOCK + kind.window - 1)]
                 parts.append(_runs(kind, piece, np.array([0, len(piece)]), row, a - lo))
         row = last
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("row", "s", "n", "d", "h", "g")}
+    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("row", "s", "n", "d", "h")}
 
 
 def _runs(kind: Kind, codes: np.ndarray, offsets: np.ndarray, row: int, shift: int) -> dict[str, np.ndarray]:
     w, k, n = kind.window, kind.seed, len(codes)
-    empty = {x: np.zeros(0, np.int64) for x in ("row", "s", "n", "d", "h", "g")}
+    empty = {x: np.zeros(0, np.int64) for x in ("row", "s", "n", "d", "h")}
     if n < w:
         return empty
     prefix = Prefix(codes)
@@ -165,66 +218,85 @@ def _runs(kind: Kind, codes: np.ndarray, offsets: np.ndarray, row: int, shift: i
     # a run ends before the next begins, and with its row's last window
     e = np.minimum(np.append(s[1:], n), offsets[owner[s] + 1] - w + 1)
     p = anchor[s]
-    whole = Prefix(codes, POWERS2).of(s, e - 1 + w)
-    g = mix(whole + (p - s).astype(np.uint64) * _U(0x9FB21C651E98DF25) + (e - s).astype(np.uint64), 0xFF51AFD7ED558CCD)
     own = owner[s]
-    return {"row": own + row, "s": s - offsets[own] + shift, "n": e - s, "d": p - s, "h": mix(gram[p], 0xC4CEB9FE1A85EC53).view(np.int64), "g": g.view(np.int64)}
+    return {"row": own + row, "s": s - offsets[own] + shift, "n": e - s, "d": p - s, "h": mix(gram[p], 0xC4CEB9FE1A85EC53).view(np.int64)}
+
+
+KEYS = ["_qn_k0", "_qn_k1"]
 
 
 def _run_table(docs: DataFrame, kind: Kind) -> DataFrame:
+    """Runs of every row, with g, the digest of their content."""
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        buf, offsets = concatenated(batch.column("text"))
-        r = runs(kind, *symbols(kind, buf, offsets))
+        rows = rows_of(kind, batch.column("text"))
+        r = runs(kind, rows.codes, rows.at)
+        first = rows.at[r["row"]] + r["s"]
+        g = digests(rows.content(first, first + r["n"] + (kind.window - 2))).ravel()
         row = pa.array(r["row"].astype(np.int64))
         return pa.RecordBatch.from_arrays(
-            [batch.column("_qn_k0").take(row), batch.column("_qn_k1").take(row), pa.array(r["h"], pa.int64()), pa.array(r["g"], pa.int64()), pa.array(r["s"].astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["d"].astype(np.int16))],
-            ["_qn_k0", "_qn_k1", "h", "g", "s", "n", "d"],
+            [*(batch.column(c).take(row) for c in KEYS), pa.array(r["h"], pa.int64()), pa.array(g, pa.int64()), pa.array(r["s"].astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["d"].astype(np.int16))],
+            [*KEYS, "h", "g", "s", "n", "d"],
         )
 
     return map_slices(docs, fn, "_qn_k0 long, _qn_k1 long, h long, g long, s int, n short, d short", limit=SCAN_BYTES)
 
 
-Solver = Callable[[Kind, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Gets the contents' bytes, number of windows, place of the anchor, and group; gives the stretches (content, first symbol, end) that repeat.
+Solver = Callable[[Kind, list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _contexts(picked: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
-    """The content of each picked run: its bytes, or its words' codes."""
-    lists = picked.groupBy("_qn_k0", "_qn_k1").agg(F.collect_list(F.struct("h", "s", "n", "d", "crowded")).alias("picked"))
-    joined = docs.join(lists, ["_qn_k0", "_qn_k1"]).select("_qn_k0", "_qn_k1", "text", "picked")
+    """h, g, n, d and the content of each picked run (h, g, its row's keys, s, n, d)."""
+    lists = picked.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "g", "s", "n", "d")).alias("picked"))
+    # merged by sorting, so that equal rows stand together: one of them is read
+    joined = docs.join(lists.hint("merge"), KEYS).select(*KEYS, "text", "picked")
+    last: list = [None]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        buf, offsets = concatenated(batch.column("text"))
-        codes, at = symbols(kind, buf, offsets)
-        picked = batch.column("picked")
-        row = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(picked).to_numpy(zero_copy_only=False)))
-        flat = picked.flatten()
-        s, n = flat.field("s").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-        start = at[row.to_numpy()] + s
-        source = codes if kind.words else buf
-        ctx = [source[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + kind.window).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("_qn_k0").take(row), batch.column("_qn_k1").take(row), *(flat.field(c) for c in ("h", "s", "n", "d", "crowded")), pa.array(ctx, pa.binary())], ["_qn_k0", "_qn_k1", "h", "s", "n", "d", "crowded", "ctx"])
-
-    return map_slices(joined, fn, "_qn_k0 long, _qn_k1 long, h long, s int, n short, d short, crowded boolean, ctx binary", limit=SCAN_BYTES)
-
-
-def _codes(kind: Kind, data: np.ndarray) -> np.ndarray:
-    return data.view(np.uint64) if kind.words else BYTE_CODES[data]
+        keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS), strict=True))
+        new = [k != before for k, before in zip(keys, [last[0], *keys], strict=False)]
+        last[0] = keys[-1]
+        batch = batch.filter(pa.array(new))
+        if not batch.num_rows:
+            return None
+        rows = rows_of(kind, batch.column("text"))
+        lists = batch.column("picked")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        n = flat.field("n").to_numpy().astype(np.int64)
+        first = rows.at[row] + flat.field("s").to_numpy().astype(np.int64)
+        contents = rows.content(first, first + n + (kind.window - 2))
+        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("h", "g", "n", "d")), pa.array(contents, pa.binary())], ["h", "g", "n", "d", "ctx"])
+
+    return map_slices(joined, fn, "h long, g long, n short, d short, ctx binary", limit=SCAN_BYTES)
+
+
+def _spans(h: np.ndarray, g: np.ndarray, who: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Stretches (a, b) of contents, merged for each content (h, g)."""
+    order = np.lexsort((a, g[who], h[who]))
+    who, a, b = who[order], a[order], b[order]
+    same = (h[who][1:] == h[who][:-1]) & (g[who][1:] == g[who][:-1]) if len(who) else np.zeros(0, bool)
+    # contents are laid side by side, far enough apart, so that one pass merges all
+    number = np.concatenate([[0], np.cumsum(~same)]) if len(who) else who
+    far = number * (1 << 20)
+    x, y = union_of(a + far, b + far)
+    k = x >> 20
+    at = np.searchsorted(number, k)
+    return pa.RecordBatch.from_arrays([pa.array(h[who][at], pa.int64()), pa.array(g[who][at], pa.int64()), pa.array((x & 0xFFFFF).astype(np.int32)), pa.array((y - (k << 20)).astype(np.int32))], ["h", "g", "a", "b"])
 
 
 def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
-    """Repeated windows of groups that fit a task, as stretches (_qn_k0, _qn_k1, a, b) of symbols."""
-    unit = 8 if kind.words else 1
+    """Stretches (h, g, a, b) of contents that repeat, by the solver; whole groups at a time, about SOLVE_BYTES of them."""
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
-        buf, offsets = concatenated(batch.column("ctx"))
-        data = np.frombuffer(buf.tobytes(), np.uint64) if kind.words else buf
-        n, d, s = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "d", "s"))
-        _, group = np.unique(batch.column("h").to_numpy(), return_inverse=True)
-        who, at = solver(kind, data, offsets // unit, n, d, group)
-        rows = pa.array(who)
-        return pa.RecordBatch.from_arrays([batch.column("_qn_k0").take(rows).combine_chunks(), batch.column("_qn_k1").take(rows).combine_chunks(), pa.array((s[who] + at).astype(np.int32)), pa.array((s[who] + at + kind.window).astype(np.int32))], ["_qn_k0", "_qn_k1", "a", "b"])
+        h, g = batch.column("h").to_numpy(), batch.column("g").to_numpy()
+        _, group = np.unique(h, return_inverse=True)
+        n, d = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "d"))
+        return _spans(h, g, *solver(kind, batch.column("ctx").to_pylist(), n, d, group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -246,54 +318,54 @@ def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
         trim()
 
     bounded_batches(contexts.sparkSession)
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "_qn_k0 long, _qn_k1 long, a int, b int")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, a int, b int")
 
 
 def _by_window(contexts: DataFrame, kind: Kind) -> DataFrame:
-    """Repeated windows of crowded groups: every window's content is counted."""
+    """Stretches (h, g, a, b) of the contents of crowded anchors: every window is told by its digest, and those of two or more occurrences kept.
+
+    A content occurs ``c`` times; each of its windows counts as often.
+    """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offsets = concatenated(batch.column("ctx"))
-        data = np.frombuffer(buf.tobytes(), np.uint64) if kind.words else buf
-        codes = _codes(kind, data)
-        one, two = Prefix(codes), Prefix(codes, POWERS2)
-        n, s = batch.column("n").to_numpy().astype(np.int64), batch.column("s").to_numpy().astype(np.int64)
+        rows = rows_of(kind, batch.column("ctx"))
+        n = batch.column("n").to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = (offsets[:-1] // (8 if kind.words else 1))[row] + step
-        rows = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("_qn_k0").take(rows), batch.column("_qn_k1").take(rows), pa.array((s[row] + step).astype(np.int32)), pa.array(mix(one.of(at, at + kind.window)).view(np.int64)), pa.array(mix(two.of(at, at + kind.window)).view(np.int64))],
-            ["_qn_k0", "_qn_k1", "a", "x", "y"],
-        )
+        first = rows.at[:-1][row] + step
+        xy = digests(rows.content(first, first + kind.window - 1), 16)
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("h", "g", "c")), pa.array(step.astype(np.int32)), pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["h", "g", "c", "a", "x", "y"])
 
-    windows = map_slices(contexts.select("_qn_k0", "_qn_k1", "s", "n", "ctx"), fn, "_qn_k0 long, _qn_k1 long, a int, x long, y long", column="ctx", limit=1 << 20)
+    windows = map_slices(contexts.select("h", "g", "c", "n", "ctx"), fn, "h long, g long, c long, a int, x long, y long", column="ctx", limit=1 << 18)
     windows = materialise(windows, "windows")
-    twice = materialise(windows.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"), "twice")
-    return windows.join(twice, ["x", "y"]).select("_qn_k0", "_qn_k1", "a", (F.col("a") + kind.window).alias("b"))
+    twice = materialise(windows.groupBy("x", "y").agg(F.sum("c").alias("c")).where("c > 1").select("x", "y"), "twice")
+    return windows.join(twice, ["x", "y"]).select("h", "g", "a", (F.col("a") + kind.window).alias("b"))
 
 
 def repeated(docs: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
     """For rows (_qn_k0, _qn_k1, text): the row's keys and ``_qn_covered``, an array of stretches (a, b) of symbols whose
     union is what repeated windows cover.  Rows without any are absent.  Equal keys are repeated rows."""
     table = materialise(_run_table(docs, kind), "runs")
-    # tables on both sides let the engine split a partition that one hot anchor fills
+    # tables on both sides let the engine split a partition that one hot anchor or content fills
     often = materialise(table.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
     hot = materialise(table.join(often, "h"), "anchors")
-    kinds = hot.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("_qn_k0", "_qn_k1", "s", "n", "d")).alias("one"))
-    kinds = materialise(kinds, "kinds")
-    settled = hot.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("_qn_k0", "_qn_k1", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + kind.window).alias("b"))
-    open_ = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("h", (F.col("m") > CROWD).alias("crowded"))
-    open_ = materialise(open_, "open")
-    picked = kinds.join(open_, "h").select("h", "one.*", "crowded")
-    contexts = materialise(_contexts(picked, docs, kind), "contexts")
-    found = [settled, _solved(contexts.where("not crowded"), kind, solver)]
-    if contexts.where("crowded").limit(1).count():
-        found.append(_by_window(contexts.where("crowded"), kind))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("_qn_k0", "_qn_k1").agg(F.collect_list(F.struct("a", "b")).alias("_qn_covered"))
+    one = F.struct(*KEYS, "s", "n", "d")
+    kinds = materialise(hot.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(one).alias("one"), F.max(one).alias("two")), "kinds")
+    crowded = materialise(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("h"), "crowded")
+    few, many = kinds, None
+    if crowded.limit(1).count():
+        few, many = kinds.join(crowded, "h", "left_anti"), kinds.join(crowded, "h", "left_semi")
+    # a single occurrence's first and last are the same run; a row that repeats gives the same run twice
+    pairs = few.select("h", "g", F.explode(F.when(F.col("c") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("o"))
+    found = _solved(_contexts(pairs.select("h", "g", "o.*"), docs, kind), kind, solver)
+    if many is not None:
+        contexts = _contexts(many.select("h", "g", "one.*"), docs, kind).join(many.select("h", "g", "c"), ["h", "g"])
+        found = found.unionByName(_by_window(contexts, kind))
+    found = materialise(found, "found")
+    every = hot.join(found, ["h", "g"]).select(*KEYS, (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
+    # a set: rows that repeat bring the same stretches
+    return every.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("_qn_covered"))
 
 
 def union_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +378,6 @@ def union_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], b[np.append(np.flatnonzero(first)[1:] - 1, len(b) - 1)]
 
 
-def joined(every: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (row, start) found, concatenated."""
-    cat = lambda k: np.concatenate([np.zeros(0, np.int64), *(x[k] for x in every)])
-    return cat(0), cat(1)
+def distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(x << 32 | y)
+    return both >> 32, both & 0xFFFFFFFF

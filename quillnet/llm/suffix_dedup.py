@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, others, quoted, row_key, texts_as_bytes, widened
-from .repeats import BYTE_CODES, Kind, Prefix, joined, repeated, union_of
+from .repeats import BYTE_CODES, Kind, Prefix, repeated, union_of
 
 BYTES = Kind(window=200, seed=32)
 
@@ -75,13 +75,15 @@ def suffix_sort(buf: np.ndarray, prefix: Prefix, at: np.ndarray, size: np.ndarra
     return order
 
 
-def by_suffixes(kind: Kind, buf: np.ndarray, offsets: np.ndarray, n: np.ndarray, d: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (row, start) that occur in another place of the rows given."""
+def by_suffixes(kind: Kind, contents: list[bytes], n: np.ndarray, d: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (content, first byte, end) that occur in another place of the contents given."""
     w = kind.window
+    buf = np.frombuffer(b"".join(contents), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int64)
     prefix = Prefix(BYTE_CODES[buf])
     anchor = offsets[:-1] + d
     order = suffix_sort(buf, prefix, anchor, np.minimum(offsets[1:] - anchor, w), group)
-    found = []
+    rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in range(kind.reach):
         if back:
             order = order[d[order] >= back]
@@ -96,11 +98,13 @@ def by_suffixes(kind: Kind, buf: np.ndarray, offsets: np.ndarray, n: np.ndarray,
         h = prefix.of(start, start + w)
         same = (h[1:] == h[:-1]) & (group[row[1:]] == group[row[:-1]])
         if same.any():
-            a, b = start[:-1][same], start[1:][same]
-            same[same] = _equal(buf, a, b, w)
+            x, y = start[:-1][same], start[1:][same]
+            same[same] = _equal(buf, x, y, w)
             hit = np.append(same, False) | np.insert(same, 0, False)
-            found.append((row[hit], d[row[hit]] - back))
-    return joined(found)
+            rows.append(row[hit])
+            at.append(d[row[hit]] - back)
+    who, first = np.concatenate(rows), np.concatenate(at)
+    return who, first, first + w
 
 
 def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
@@ -126,8 +130,11 @@ def remove_repeats(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
     """The input's rows and columns, with n_bytes, n_removed, n_spans and kept (bytes) in place of columns of these names.
 
     Removed is every byte that a repeated window covers.  A null or empty text
-    keeps nothing; rows that repeat count as occurrences of their own, so each of
-    two equal long texts goes.  Cuts may fall inside a character.
+    keeps nothing; texts of any length are read whole; rows that repeat, or whose
+    doc_id is null, count as occurrences of their own, so each of two equal long
+    texts goes; no occurrence is preferred, so there are no ties.  Cuts may fall
+    inside a character.  An empty table gives no rows.  Other columns stay as they
+    are, whatever their names.
     """
     rest = others(docs, "n_bytes", "n_removed", "n_spans", "kept")
     keyed = docs.select(*quoted(rest), *row_key())

@@ -359,3 +359,57 @@ def test_pipeline_keeps_replacement_characters_of_the_input(spark):
     want = [texts[0], f"{prose(9, 33)} \ufffdx \ufffd", f"{prose(9, 34)} ", None, ""]
     assert {k: v[0] for k, v in got.items()} == dict(enumerate(want))
     assert all(v[1] == len(v[0]) for v in got.values() if v[0] is not None)
+
+
+def thue_morse(n, letters):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word[:n])
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    start = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{start} {thue_morse(2048, 'ab')}"), (2, f"{start} {thue_morse(2048, 'ba')}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_passages(docs).collect()] == [0, 0]
+    blocks = spark.createDataFrame([(1, "z" * 100 + thue_morse(256, "ab")), (2, "z" * 100 + thue_morse(256, "ba"))], "doc_id long, text string")
+    rows = [r.text.encode() for r in blocks.collect()]
+    want = [int(m.sum()) for m in covered(rows, 200)]
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(blocks).collect()] == want
+
+
+def test_very_long_texts(spark):
+    """A row beyond the pieces in which symbols are hashed, with repeats planted far apart and across the edge of a piece."""
+    r = np.random.default_rng(5)
+    raw = bytearray(r.choice(list(b"abcdefgh   "), 700_000).astype(np.uint8).tobytes())
+    raw[repeats.BLOCK - 120 : repeats.BLOCK + 180] = raw[1_000:1_300]
+    raw[650_000:650_900] = raw[400_000:400_900]
+    rows = [bytes(raw), bytes(raw[100_000:100_450])]
+    docs = spark.createDataFrame([(k, x.decode()) for k, x in enumerate(rows)], "doc_id long, text string")
+    for x, m, got in zip(rows, covered(rows, 200), suffix_dedup.remove_repeats(docs).orderBy("doc_id").collect(), strict=True):
+        assert (bytes(got.kept), got.n_removed) == (bytes(np.frombuffer(x, np.uint8)[~m]), int(m.sum()))
+    words = [tuple(x.split()) for x in rows]
+    for x, m, got in zip(words, covered(words, 35), substring_dedup.remove_passages(docs).orderBy("doc_id").collect(), strict=True):
+        assert (got.kept.encode(), got.n_removed) == (b" ".join(w for w, gone in zip(x, m, strict=True) if not gone), int(m.sum()))
+
+
+def test_repeats_of_random_words(spark):
+    """Few different words: many seeds, chains of partial matches, and groups of many contents."""
+    r = np.random.default_rng(8)
+    base = [" ".join(r.choice(list("ab"), 90)) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        b = base[int(r.integers(4))].split()
+        a = int(r.integers(0, 50))
+        piece = b[a : a + int(r.integers(20, 60))]
+        if r.random() < 0.5 and piece:
+            piece[int(r.integers(len(piece)))] = "x"
+        texts.append(" ".join([*r.choice(list("cd"), 5), *piece, *r.choice(list("cd"), 5)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [tuple(t.encode().split()) for t in texts]
+    got = {x.doc_id: x.n_removed for x in substring_dedup.remove_passages(docs).collect()}
+    assert got == {k: int(m.sum()) for k, m in enumerate(covered(rows, 35))}
+    raw = [t.encode() for t in texts]
+    kind = repeats.Kind(window=40, seed=8)
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.remove_repeats(docs, kind).collect()}
+    assert got == {k: int(m.sum()) for k, m in enumerate(covered(raw, 40))}
