@@ -15,7 +15,7 @@ import re
 import warnings
 import zlib
 from array import array
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .common import held, map_slices, materialise, row_key, texts_as_bytes
 SEQUENCE = 2048
 GRAIN = 8
 END = 1
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: ASCII marks that part from the word before them.
 _MARKS = b",.!?;:#%$&*"
 #: Rows of one rank group, and pricing rounds of the linear program.
@@ -104,21 +104,20 @@ class WordCoder:
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def _learn(self, fresh: list[bytes]) -> None:
+        """Ids of new chunks: plain words part from the marks after them, all else is encoded as it stands."""
         chunks = self.chunks
-        # letters and digits part from the marks after them, and case does not count; special tokens hold a bar
         heads = [c.rstrip(_MARKS) for c in fresh]
-        lows = [h.lower() if h[-1:].isalnum() and b"|" not in c else c for c, h in zip(fresh, heads, strict=True)]
-        tails = [c[len(h) :] if low is not c else b"" for c, h, low in zip(fresh, heads, lows, strict=True)]
-        lacking = [c for c in set(lows).union(tails) if c not in chunks]
-        plain = [c for c in lacking if _PLAIN.fullmatch(c)]
-        odd = [c for c in lacking if not _PLAIN.fullmatch(c)]
-        for k in range(0, len(plain), JOINED):
-            chunks.update(zip(part := plain[k : k + JOINED], self._plain(part), strict=True))
+        is_plain = [m is not None for m in map(_PLAIN.fullmatch, heads)]
+        lacking = [h for h in set(compress(heads, is_plain)) if h not in chunks]
+        for k in range(0, len(lacking), JOINED):
+            chunks.update(zip(part := lacking[k : k + JOINED], self._plain(part), strict=True))
+        marked = [(c, h, c[len(h) :]) for c, h, good in zip(fresh, heads, is_plain, strict=True) if good and len(c) != len(h)]
+        odd = [c for c, good in zip(fresh, is_plain, strict=True) if not good]
+        odd += [t for t in {t for _, _, t in marked} if t not in chunks]
         for k in range(0, len(odd), 20_000):
             chunks.update(zip(part := odd[k : k + 20_000], self._ids([c.decode() for c in part]), strict=True))
-        for c, low, tail in zip(fresh, lows, tails, strict=True):
-            if low is not c:
-                chunks[c] = chunks[low] + chunks[tail] if tail else chunks[low]
+        for c, head, tail in marked:
+            chunks[c] = chunks[head] + chunks[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -126,7 +125,8 @@ class WordCoder:
             return self._ids([t.decode() for t in texts])
         if len(self.chunks) > self.cache // 2:
             self.older, self.chunks = self.chunks, {}
-        split = [t.split() for t in texts]
+        # ASCII letters count in lower case; only special tokens, which hold a bar after a bracket, are told by case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = list(chain.from_iterable(split))
         found = list(map(self.chunks.get, words))
         new = [k for k, ids in enumerate(found) if ids is None]

@@ -38,7 +38,7 @@ CROWD = 12_000
 POLYNOMIAL = 64
 #: Symbols that are hashed at once, and bytes of contexts that a solver gets at once.
 BLOCK = 1 << 18
-SOLVE_BYTES = 8 << 20
+SOLVE_BYTES = 4 << 20
 SCAN_BYTES = 2 << 20
 _BITS = 24
 
@@ -69,6 +69,9 @@ class Powers:
             self.down = np.concatenate([[_U(1)], np.cumprod(np.full(n, self.inv))])
         return self.up, self.down
 
+    def forget(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
 
 POWERS, POWERS2 = Powers(BASE), Powers(BASE2)
 
@@ -315,6 +318,7 @@ def _solved(contexts: DataFrame, kind: Kind, solver: Solver) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
         held = []
+        POWERS.forget()
         trim()
 
     bounded_batches(contexts.sparkSession)

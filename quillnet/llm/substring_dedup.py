@@ -10,6 +10,8 @@ window's length are maximal repeats.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +27,9 @@ def numbered(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all contents as numbers, equal just for equal words, and the contents' offsets."""
     split = [c.split(b" ") for c in contents]
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-    known: dict[bytes, int] = {}
-    words = np.fromiter((known.setdefault(w, len(known)) for s in split for w in s), np.int64, int(offsets[-1]))
-    return words, offsets
+    every = list(chain.from_iterable(split))
+    number = {w: k for k, w in enumerate(dict.fromkeys(every))}
+    return np.fromiter(map(number.__getitem__, every), np.int64, len(every)), offsets
 
 
 def neighbours(kind: Kind, words: np.ndarray, offsets: np.ndarray, d: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -83,37 +83,51 @@ def by_suffixes(kind: Kind, contents: list[bytes], n: np.ndarray, d: np.ndarray,
     prefix = Prefix(BYTE_CODES[buf])
     anchor = offsets[:-1] + d
     order = suffix_sort(buf, prefix, anchor, np.minimum(offsets[1:] - anchor, w), group)
-    rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for back in range(kind.reach):
+    # neighbours whose windows agree by hash, from one number of bytes before the anchor to another
+    after, since = np.full(len(contents), -1), np.zeros(len(contents), np.int64)
+    chains: list[tuple[np.ndarray, ...]] = []
+    for back in range(kind.reach + 1):
         if back:
             order = order[d[order] >= back]
             order = order[np.argsort(buf[anchor[order] - back], kind="stable")]
-        if not len(order):
-            break
         # windows that begin ``back`` bytes before their anchor
-        row = order[(d[order] - back >= 0) & (d[order] - back < n[order])]
-        if len(row) < 2:
-            continue
-        start = anchor[row] - back
-        h = prefix.of(start, start + w)
-        same = (h[1:] == h[:-1]) & (group[row[1:]] == group[row[:-1]])
-        if same.any():
-            x, y = start[:-1][same], start[1:][same]
-            same[same] = _equal(buf, x, y, w)
-            hit = np.append(same, False) | np.insert(same, 0, False)
-            rows.append(row[hit])
-            at.append(d[row[hit]] - back)
-    who, first = np.concatenate(rows), np.concatenate(at)
-    return who, first, first + w
-
-
-def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
-    """Whether the bytes themselves agree, in words of eight."""
+        row = order[d[order] - back < n[order]] if back < kind.reach else order[:0]
+        now = np.full(len(contents), -1)
+        if len(row) > 1:
+            start = anchor[row] - back
+            h = prefix.of(start, start + w)
+            same = (h[1:] == h[:-1]) & (group[row[1:]] == group[row[:-1]])
+            now[row[:-1][same]] = row[1:][same]
+        changed = now != after
+        ended = np.flatnonzero(changed & (after >= 0))
+        chains.append((ended, after[ended], since[ended], np.full(len(ended), back - 1)))
+        since[changed] = back
+        after = now
+    x, y, least, most = (np.concatenate(c) for c in zip(*chains, strict=True))
+    ok = _equal(buf, anchor[x] - most, anchor[y] - most, most - least + w)
+    if not ok.all():  # hashes misled: these windows one by one
+        bad = np.flatnonzero(~ok)
+        count = most[bad] - least[bad] + 1
+        each = np.repeat(bad, count)
+        back = np.repeat(least[bad], count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+        x, y, least, most = (np.concatenate([v[ok], v[each] if u is None else u]) for v, u in ((x, None), (y, None), (least, back), (most, back)))
+        keep = np.append(np.ones(int(ok.sum()), bool), _equal(buf, anchor[x[ok.sum() :]] - back, anchor[y[ok.sum() :]] - back, np.full(len(back), w)))
+        x, y, least, most = x[keep], y[keep], least[keep], most[keep]
+    who = np.concatenate([x, y])
+    return who, d[who] - np.tile(most, 2), d[who] - np.tile(least, 2) + w
+
+
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of ``size`` bytes, eight at least, agree: the bytes themselves, in words of eight."""
     ok = np.ones(len(a), bool)
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    for k in range(0, w, 8):
-        k = min(k, w - 8)
-        ok &= (eight[a + k] == eight[b + k]).all(axis=1)
+    words = np.lib.stride_tricks.as_strided(buf.view(np.uint8), (max(len(buf) - 7, 0), 8), (1, 1))
+    live = np.arange(len(a))
+    k = 0
+    while len(live):
+        at = np.minimum(k, size[live] - 8)
+        ok[live] = (words[a[live] + at] == words[b[live] + at]).all(axis=1)
+        k += 8
+        live = live[ok[live] & (size[live] > k)]
     return ok
 
 
