@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,17 @@ from pyspark.sql import functions as F
 MIN_SENTENCES, MIN_WEIGHT, MIN_SIZE, RESOLUTION = 2, 0.5, 3, 0.5
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quillnet-")
+
+
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; a temporary one only where none is set."""
-    if not (there := spark.conf.get("spark.checkpoint.dir", None)):
-        there = tempfile.mkdtemp(prefix="quillnet-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return f"{there}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share; a temporary one where none is set and all runs in this process."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{there or _local_folder()}/{name}-{uuid.uuid4().hex}"
 
 
 def _table(df: DataFrame, name: str) -> DataFrame:
@@ -80,21 +87,33 @@ def scale_size(nodes: DataFrame, low: float = 4, high: float = 16) -> DataFrame:
     return nodes.crossJoin(span).withColumn("size", F.when(width > 0, low + (high - low) * (F.col("wdegree") - F.col("_lo")) / width).otherwise(F.lit(float(low)))).drop("_lo", "_hi")
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """id, component (its least member): least labels spread over edges, with pointer jumping."""
-    ends = _table(endpoints(edges.withColumn("weight", F.lit(0.0))).select("id", "other"), "ends")
-    labels = _table(ends.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """For edges (item, hub): item and ``component``, the least item that hubs connect it with.
+
+    Least labels spread over hubs, then every label is replaced by its own label.
+    Whatever a join meets is a table of its own, so the engine can split the
+    partition of a hub or label that very many items share.
+    """
+    edges = _table(edges.select("item", "hub").distinct(), "edges")
+    labels = _table(edges.groupBy("item").agg(F.col("item").alias("component")), "labels")
     for _ in range(rounds):
-        near = ends.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = _table(step.join(jump, "component").select("id", "old", F.least("component", "further").alias("component")), "labels")
-        labels = step.select("id", "component")
+        least = _table(edges.join(labels, "item").groupBy("hub").agg(F.min("component").alias("near")), "hubs")
+        near = edges.join(least, "hub").groupBy("item").agg(F.min("near").alias("near"))
+        step = _table(labels.join(near, "item").select("item", F.col("component").alias("old"), F.least("component", "near").alias("component")), "steps")
         if not step.where("old <> component").limit(1).count():
-            return labels
+            return step.select("item", "component")
+        further = step.select(F.col("item").alias("component"), F.col("component").alias("further"))
+        labels = _table(step.join(further, "component").select("item", F.least("component", "further").alias("component")), "labels")
     raise RuntimeError("components did not settle")
 
 
+def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, component (its least member): every node is a hub of its neighbours and of itself."""
+    ends = endpoints(edges.withColumn("weight", F.lit(0.0)))
+    hubs = ends.select(F.col("id").alias("item"), F.col("other").alias("hub")).union(ends.select("id", "id"))
+    return components(hubs, rounds).withColumnRenamed("item", "id")
+
+
 def drop_small(components: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     """Nodes of components with at least so many nodes."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
