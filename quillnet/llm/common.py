@@ -20,6 +20,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16 << 20
 #: Bytes of a batch on its way to a Python worker; Spark itself counts rows only, whatever their length.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
@@ -52,7 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,11 @@
 
 Rows with the same set of n-grams form a class.  Each class gets a signature;
 bands of it are shuffled by their hashes, with as many bands as the target recall
-needs.  Classes that meet in a band belong to one candidate cluster (connected
-components over band and class, in rounds).  Within a cluster every pair of
-classes is verified on the full sets; clusters are cut into blocks, and pairs of
-blocks are tasks of their own, so a cluster of any size is worked on in parallel
-and no pair is ever a row.
+needs.  Classes that bands connect form a cluster; a cluster is cut into blocks
+of bounded bytes, and every pair of blocks is a task of its own.  There the pairs
+of classes that share a band are verified on their full sets, so each of them is
+verified once, however many bands it shares; a cluster of any size is worked on
+in parallel, and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import concatenated, map_slices, materialise, quoted, row_key
 from .repeats import POWERS2, Kind, Prefix, mix, symbols
 
@@ -25,7 +26,9 @@ GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 5
+#: Classes of a block, and bytes of their n-gram sets.
 CROWD = 256
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -73,7 +76,7 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int, se
 
 
 def _profiles(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
-    """Per row: its keys, its class (two hashes of its n-gram set; null without words) and its bands."""
+    """Per row: its keys, its class (128 bits of two hashes of its n-gram set; null without words), its number of n-grams, its bands."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = concatenated(batch.column("text"))
@@ -81,157 +84,164 @@ def _profiles(docs: DataFrame, gram: int, bands: int, rows: int) -> DataFrame:
         n = np.diff(at)
         sig = signatures(grams, at, bands, rows)
         one, two = Prefix(mix(grams)), Prefix(mix(grams, 0x9FB21C651E98DF25), POWERS2)
-        c0 = mix(one.of(at[:-1], at[1:]) + n.astype(np.uint64)).view(np.int64)
-        c1 = mix(two.of(at[:-1], at[1:])).view(np.int64)
-        none = n == 0
+        both = np.stack([mix(one.of(at[:-1], at[1:]) + n.astype(np.uint64)), mix(two.of(at[:-1], at[1:]))], axis=1)
+        items = pa.array([x.tobytes() if k else None for x, k in zip(both, n.tolist(), strict=True)], pa.binary())
         lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_qn_k0", "_qn_k1")), pa.array(c0, mask=none), pa.array(c1, mask=none), lists], ["doc_id", "_qn_k0", "_qn_k1", "c0", "c1", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_qn_k0", "_qn_k1")), items, pa.array(n), lists], ["doc_id", "_qn_k0", "_qn_k1", "item", "n_grams", "bands"])
 
-    return map_slices(docs, fn, "doc_id long, _qn_k0 long, _qn_k1 long, c0 long, c1 long, bands array<long>", limit=2 << 20)
+    return map_slices(docs, fn, "doc_id long, _qn_k0 long, _qn_k1 long, item binary, n_grams long, bands array<long>", limit=2 << 20)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """For edges (item, hub): item and ``cluster``, the least item that hubs connect it with."""
-    edges = materialise(edges, "edges")
-    labels = materialise(edges.groupBy("item").agg(F.col("item").alias("cluster")), "labels")
-    for _ in range(rounds):
-        hubs = edges.join(labels, "item").groupBy("hub").agg(F.min("cluster").alias("least"))
-        near = edges.join(hubs, "hub").groupBy("item").agg(F.min("least").alias("least"))
-        # pointer jumping: the label's own new label
-        step = labels.join(near, "item").select("item", F.col("cluster").alias("old"), F.least("cluster", "least").alias("cluster"))
-        jump = step.select(F.col("item").alias("cluster"), F.col("cluster").alias("further"))
-        step = materialise(step.join(jump, "cluster").select("item", "old", F.least("cluster", "further").alias("cluster")), "labels")
-        labels = step.select("item", "cluster")
-        if not step.where("old <> cluster").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def block_links(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_b: list[np.ndarray], threshold: float, same: bool) -> list[tuple[int, int]]:
-    """Pairs (a, b) of two blocks whose sets have at least the threshold's Jaccard similarity.
-
-    Shared n-grams are counted by products of incidence matrices, a stretch of n-grams at a time.
-    """
-    na, nb = np.array([len(x) for x in sets_a], float), np.array([len(x) for x in sets_b], float)
+def shared_grams(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of one block shares with each of another, by products of incidence matrices, a stretch of n-grams at a time."""
     ga, gb = np.concatenate(sets_a), np.concatenate(sets_b)
-    ra, rb = np.repeat(np.arange(len(sets_a)), na.astype(int)), np.repeat(np.arange(len(sets_b)), nb.astype(int))
+    ra, rb = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (sets_a, sets_b))
     both = np.intersect1d(ga, gb)
     shared = np.zeros((len(sets_a), len(sets_b)), np.float32)
+    if not len(both):
+        return shared
     ka, kb = np.searchsorted(both, ga), np.searchsorted(both, gb)
-    ina, inb = both[np.minimum(ka, len(both) - 1)] == ga if len(both) else np.zeros(len(ga), bool), both[np.minimum(kb, len(both) - 1)] == gb if len(both) else np.zeros(len(gb), bool)
+    ina, inb = (both[np.minimum(k, len(both) - 1)] == g for k, g in ((ka, ga), (kb, gb)))
     ra, ka, rb, kb = ra[ina], ka[ina], rb[inb], kb[inb]
-    if same:  # an n-gram of one text only says nothing
-        often = np.bincount(ka, minlength=len(both)) > 1
-        renamed = np.cumsum(often) - 1
-        keep = often[ka]
-        ra, ka = ra[keep], renamed[ka[keep]]
-        rb, kb, width = ra, ka, int(often.sum())
-    else:
-        width = len(both)
     oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
     ra, ka, rb, kb = ra[oa], ka[oa], rb[ob], kb[ob]
-    for start in range(0, width, 4096):
+    for start in range(0, len(both), 4096):
         i, j = np.searchsorted(ka, [start, start + 4096]), np.searchsorted(kb, [start, start + 4096])
-        w = min(4096, width - start)
+        w = min(4096, len(both) - start)
         ma, mb = np.zeros((len(sets_a), w), np.float32), np.zeros((len(sets_b), w), np.float32)
         ma[ra[i[0] : i[1]], ka[i[0] : i[1]] - start] = 1
         mb[rb[j[0] : j[1]], kb[j[0] : j[1]] - start] = 1
         shared += ma @ mb.T
-    ok = shared >= threshold * (na[:, None] + nb[None, :] - shared) - 1e-6
-    if same:
-        ok &= ids_a[:, None] < ids_b[None, :]
-    x, y = np.nonzero(ok)
-    return list(zip(ids_a[x].tolist(), ids_b[y].tolist(), strict=True))
+    return shared
 
 
-def _links(members: DataFrame, gram: int, threshold: float) -> DataFrame:
-    """For members (cluster, n, item, class_id, text): item, the class ids linked with it, and ``roots``,
-    at most one item for each pair of blocks, that stand for what it is connected with."""
-    blocks = members.withColumn("parts", F.ceil(F.col("n") / CROWD).cast("int")).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+def block_links(sets_a: list[np.ndarray], bands_a: np.ndarray, sets_b: list[np.ndarray], bands_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) in two blocks of the pairs that share a band and whose sets reach the threshold; a before b in one and the same block."""
+    meet = np.zeros((len(sets_a), len(sets_b)), bool)
+    for a, b in zip(bands_a.T, bands_b.T, strict=True):
+        meet |= a[:, None] == b[None, :]
+    if same:
+        meet = np.triu(meet, 1)
+    x, y = np.nonzero(meet)
+    na, nb = (np.array([len(s) for s in sets], float) for sets in (sets_a, sets_b))
+    if len(x) <= 2 * (len(na) + len(nb)):
+        shared = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], float)
+    else:
+        shared = shared_grams(sets_a, sets_b)[x, y].astype(float)
+    ok = shared >= threshold * (na[x] + nb[y] - shared) - 1e-6
+    return x[ok], y[ok]
+
+
+def _sets(docs: DataFrame, members: DataFrame, gram: int) -> DataFrame:
+    """The members (keys of their row, cluster, parts, item, bands) with their n-gram sets as bytes."""
+    last: list = [None]
+    # merged by sorting, so that equal rows stand together: one of them is read
+    joined = docs.join(members.hint("merge"), ["_qn_k0", "_qn_k1"]).select("_qn_k0", "_qn_k1", "cluster", "parts", "item", "bands", "text")
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        items = batch.column("item").to_pylist()
+        new = [k != before for k, before in zip(items, [last[0], *items], strict=False)]
+        last[0] = items[-1]
+        batch = batch.filter(pa.array(new))
+        if not batch.num_rows:
+            return None
+        grams, at = gram_sets(*concatenated(batch.column("text")), gram)
+        sets = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "parts", "item", "bands")), pa.array(sets, pa.binary())], ["cluster", "parts", "item", "bands", "grams"])
+
+    return map_slices(joined, fn, "cluster binary, parts int, item binary, bands array<long>, grams binary", limit=2 << 20)
+
+
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """item, root, n: for each pair of blocks, an item's number of links there and the least item that they connect it with."""
+    blocks = sets.withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
     # every member goes to the pairs (lower part, upper part) of its cluster that hold its own part
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("lo"), F.greatest(k, F.col("part")).alias("hi")))
-    dealt = blocks.select("cluster", "item", "class_id", "part", "text", F.explode(meet).alias("pair")).select("cluster", "pair.lo", "pair.hi", "item", "class_id", "part", "text")
+    dealt = blocks.select("cluster", "item", "part", "bands", "grams", F.explode(meet).alias("pair")).select("cluster", "pair.lo", "pair.hi", "item", "part", "bands", "grams")
 
     def task(t: pa.Table) -> pa.Table:
-        buf, offsets = concatenated(t.column("text"))
-        grams, at = gram_sets(buf, offsets, gram)
-        sets = [grams[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        ids, part = t.column("item").to_numpy(), t.column("part").to_numpy()
+        t = t.sort_by("item")
+        items, part = t.column("item").to_pylist(), t.column("part").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        pairs = block_links(ids[a], [sets[k] for k in a], ids[b], [sets[k] for k in b], threshold, lo == hi) if len(a) and len(b) else []
-        names, linked, root = t.column("class_id").to_pylist(), {}, {}
-        name = dict(zip(ids.tolist(), names, strict=True))
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in pairs:
-            linked.setdefault(x, []).append(name[y])
-            linked.setdefault(y, []).append(name[x])
-            if (u := top(x)) != (v := top(y)):
-                root[max(u, v)] = min(u, v)
-        lists = pa.array(list(linked.values()), pa.list_(pa.int64()))
-        return pa.table({"item": pa.array(list(linked), pa.int64()), "root": pa.array([top(x) for x in linked], pa.int64()), "linked": lists})
-
-    found = dealt.groupBy("cluster", "lo", "hi").applyInArrow(task, "item long, root long, linked array<long>")
-    return found.groupBy("item").agg(F.collect_set("root").alias("roots"), F.flatten(F.collect_list("linked")).alias("linked"))
+        if not len(a) or not len(b):
+            x = y = a[:0]
+        else:
+            x, y = block_links([sets[k] for k in a], bands[a], [sets[k] for k in b], bands[b], threshold, lo == hi)
+            x, y = a[x], b[y]
+        n = np.bincount(np.concatenate([x, y]), minlength=len(items))
+        root = np.arange(len(items))
+        while True:  # the least place that links connect a place with
+            old = root.copy()
+            np.minimum.at(root, x, root[y])
+            np.minimum.at(root, y, root[x])
+            root = root[root]
+            if (root == old).all():
+                break
+        some = np.flatnonzero(n)
+        return pa.table({"item": pa.array([items[k] for k in some], pa.binary()), "root": pa.array([items[k] for k in root[some]], pa.binary()), "n": pa.array(n[some], pa.int64())})
+
+    return dealt.groupBy("cluster", "lo", "hi").applyInArrow(task, "item binary, root binary, n long")
 
 
 def _joined(docs: DataFrame, threshold: float, gram: int, recall: float, rows: int) -> DataFrame:
-    """The join's rows with their keys, and ``_group``, a hash that stands for the group."""
+    """The join's rows with their keys, and ``_qn_group``, a hash that stands for the group."""
     bands = bands_for(threshold, recall, rows)
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row_key())
     table = materialise(_profiles(keyed, gram, bands, rows), "profiles")
-    classes = table.where("c0 is not null").groupBy("c0", "c1").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("_qn_k0", "_qn_k1"), F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1")).alias("key"), F.first("bands").alias("bands"))
-    # an item's number: its class's first hash
-    classes = materialise(classes.select("c0", "c1", "class_id", "key.*", "bands"), "classes")
-    hubs = classes.select(F.col("c0").alias("item"), F.posexplode("bands").alias("band", "value")).select("item", F.xxhash64("band", "value").alias("hub"))
-    hubs = materialise(hubs, "hubs")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1")
+    classes = table.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("_qn_k0", "_qn_k1"), first).alias("key"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select("item", "class_id", "key.*", "n_grams", "bands"), "classes")
+    hubs = classes.select("item", F.posexplode("bands").alias("band", "value")).select("item", F.xxhash64("band", "value").alias("hub"))
     met = materialise(hubs.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub"), "met")
-    clusters = components(hubs.join(met, "hub"))
-    sizes = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    members = clusters.join(sizes, "cluster").join(classes.select(F.col("c0").alias("item"), "class_id", "_qn_k0", "_qn_k1"), "item")
-    texts = keyed.select("_qn_k0", "_qn_k1", "text").join(members, ["_qn_k0", "_qn_k1"]).groupBy("item").agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("class_id").alias("class_id"), F.first("text").alias("text"))
-    links = materialise(_links(texts, gram, threshold), "links")
+    clusters = components(hubs.join(met, "hub")).withColumnRenamed("component", "cluster")
+    members = materialise(clusters.join(classes.select("item", "_qn_k0", "_qn_k1", "n_grams", "bands"), "item"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = materialise(members.groupBy("cluster").agg(parts.alias("parts")), "sizes")
+    sets = _sets(keyed.select("_qn_k0", "_qn_k1", "text"), members.join(sizes, "cluster").drop("n_grams"), gram)
+    links = materialise(_links(sets, threshold), "links")
     # groups: components of the links themselves
-    groups = components(links.select("item", F.explode(F.array_union("roots", F.array("item"))).alias("hub")))
-    named = materialise(groups.join(classes.select(F.col("c0").alias("item"), "class_id"), "item"), "named")
-    group_ids = named.groupBy("cluster").agg(F.min("class_id").alias("group_id"))
-    linked = links.select("item", F.size("linked").cast("long").alias("n_links"), F.array_sort(F.array_compact("linked")).alias("links"))
-    linked = linked.join(named.select("item", "cluster").join(group_ids, "cluster").select("item", F.col("cluster").alias("_qn_group"), "group_id"), "item")
-    about = materialise(classes.select("c0", "c1", "class_id").join(linked.withColumnRenamed("item", "c0"), "c0", "left"), "about")
-    return table.select("doc_id", "_qn_k0", "_qn_k1", "c0", "c1").join(about, ["c0", "c1"], "left").select(
+    groups = components(links.select("item", F.col("root").alias("hub"))).withColumnRenamed("component", "_qn_group")
+    named = materialise(groups.join(classes.select("item", "class_id"), "item"), "named")
+    ids = materialise(named.groupBy("_qn_group").agg(F.min("class_id").alias("group_id")), "groups")
+    linked = named.select("item", "_qn_group").join(ids, "_qn_group").join(links.groupBy("item").agg(F.sum("n").alias("n_links")), "item")
+    about = materialise(classes.select("item", "class_id").join(linked, "item", "left"), "about")
+    own = F.concat(F.unhex(F.lpad(F.hex("_qn_k0"), 16, "0")), F.unhex(F.lpad(F.hex("_qn_k1"), 16, "0")), F.lit(b"-"))
+    return table.select("doc_id", "_qn_k0", "_qn_k1", "item").join(about, "item", "left").select(
         "doc_id",
         "_qn_k0",
         "_qn_k1",
-        F.coalesce("_qn_group", "c0", F.xxhash64("_qn_k0", "_qn_k1")).alias("_qn_group"),
+        F.coalesce("_qn_group", "item", own).alias("_qn_group"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
-        F.when(F.col("doc_id") == F.col("class_id"), F.col("links")).alias("links"),
     )
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, class_id, n_links, group_id, links.
+    """Per row: doc_id, class_id, n_links, group_id.
 
     A class is the rows with the same set of word n-grams (words parted by ASCII
     white space, otherwise unchanged; a text of 1 to 4 words is one n-gram);
     class_id is its least doc_id.  n_links counts the other classes whose Jaccard
-    similarity reaches the threshold, links lists them on the row of the class's
-    least doc_id (null elsewhere); group_id is the least class that links connect
-    it with.  A text without words, or null, is a class of its own without links.
-    Rows with null doc_id take part, with class ids of other rows where there are
-    any.  Repeated rows give repeated rows; other columns are ignored.
+    similarity reaches the threshold; group_id is the least class that links
+    connect it with.  A text without words, or null, is a class of its own without
+    links.  Rows with null doc_id take part and count as links; they get class and
+    group ids of other rows, null where there are none.  Texts of any length are
+    read whole; repeated rows give repeated rows of one class; of equal ids either
+    stands for the class; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
-    return _joined(docs, threshold, gram, recall, rows).select("doc_id", "class_id", "n_links", "group_id", "links")
+    return _joined(docs, threshold, gram, recall, rows).drop("_qn_k0", "_qn_k1", "_qn_group")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """The input's columns, with one row of each group of ``join``: that of the least doc_id (null last)."""
+    """The input's columns, with one row of each group of ``join``: that of the least doc_id (null last).
+
+    Texts without words and nulls stay, as groups of their own; of rows that repeat one stays.  An empty table stays empty.
+    """
     found = _joined(docs, threshold, gram, recall, rows)
     stays = found.groupBy("_qn_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1", "_qn_k0")).alias("one")).select("one._qn_k0", "one._qn_k1")
     keyed = docs.select("*", *row_key())
