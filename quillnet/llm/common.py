@@ -124,7 +124,7 @@ def frugal() -> None:
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
         # of glibc's malloc.h: M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX
-        for name, value in ((-1, 4 << 20), (-3, 1 << 20), (-8, 2)):
+        for name, value in ((-1, 8 << 20), (-3, 4 << 20), (-8, 2)):
             libc.mallopt(name, value)
 
 

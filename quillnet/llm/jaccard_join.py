@@ -27,7 +27,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 5
 #: Classes of a block, and bytes of their n-gram sets.
-CROWD = 256
+CROWD = 1024
 BLOCK_BYTES = 4 << 20
 _U = np.uint64
 
