@@ -12,6 +12,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +25,37 @@ from .langid import softmax
 from .repeats import Kind, symbols
 
 UNITS = 12
-PATHS, WORDS = 64, 48
-#: Bounds of training: pages of the table, invented pages, steps, pages a step, blocks of a page.
-SAMPLE, INVENTED, STEPS, BATCH, BLOCKS = 200, 500, 140, 32, 48
+PATHS, WORDS = 256, 48
+#: Bounds of training: pages of the table (about), invented pages, steps, pages a step, neighbouring blocks of a page.
+SAMPLE, INVENTED, STEPS, BATCH, BLOCKS = 300, 400, 160, 32, 48
 SAMPLE_CHARS = 60_000
+#: Levels of an element's path that a block keeps, outermost and innermost; how far up an open element is looked for.
+OUTER, INNER, UP = 16, 48, 512
 
 # Element names by their part in a page.
-HIDDEN = "script style noscript template textarea title svg math iframe object select option datalist canvas head".split()
-INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta link q s samp small span strike strong sub sup time tt u var wbr".split()
-VOID = "area base br col embed hr img input link meta source track wbr".split()
+HIDDEN = "template select datalist head".split()
+RAW = "script style noscript textarea title iframe noembed noframes".split()
+INLINE = "a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img input ins kbd label mark meta link object param q s samp small span strike strong sub sup time tt u var wbr".split()
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+DRAWN = "svg math".split()
 GOOD = "article main".split()
 BAD = "nav header footer aside form menu dialog".split()
+# what can stand in a head; anything else, and text, closes it
+OF_HEAD = "head base basefont bgsound link meta title noscript noframes script style template".split()
+# elements of text that end a drawing around them
+BREAKS = "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section aside header footer nav".split()
+P_CLOSERS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+# words of class names from which pages are invented and sampled pages labelled; the network itself gets no list
 BAD_WORDS = "ad ads advert advertisement banner sponsor promo menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer header masthead cookie cookies consent notice alert popup modal comment comments reply replies disqus respond share social related recommended newsletter subscribe login signup search pagination copyright legal toolbar".split()
 GOOD_WORDS = "article content post entry story body main text prose".split()
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|title|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-# elements whose whole content is left out; those of the second line also end with an element around them, drawings also before an element of text
-_FENCED = set("template object select".split())
-_OPEN = set("canvas svg math".split())
-_DRAWN = {"svg", "math"}
-# what can stand in a head; anything else, and text, closes it
-_OF_HEAD = set("head base basefont bgsound link meta title noscript noframes script style template".split())
-_DRAWN_TEXT = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
-_BREAKS = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section aside header footer nav".split())
+# a tag: a value follows its equals sign, quoted or up to white space; a quote that never ends is a letter like others
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_INLINE, _VOID, _HIDDEN = set(INLINE), set(VOID), set(HIDDEN)
-_P_CLOSERS = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_INLINE, _VOID, _HIDDEN, _RAW, _DRAWN, _OF_HEAD, _BREAKS, _P_CLOSERS = map(set, (INLINE, VOID, HIDDEN, RAW, DRAWN, OF_HEAD, BREAKS, P_CLOSERS))
 _ALONE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -64,117 +67,138 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
-def _partners(tags: list[re.Match]) -> dict[int, int]:
-    """The closing tag of each template, object and select that has one."""
-    out: dict[int, int] = {}
-    opened: dict[str, list[int]] = {name: [] for name in _FENCED}
-    for k, m in enumerate(tags):
-        name = (m.group(3) or "").lower()
-        if name in _FENCED:
-            if not m.group(2):
-                opened[name].append(k)
-            elif opened[name]:
-                out[opened[name].pop()] = k
-    return out
-
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text and tags in page order: ("", text, ""), ("<" or "</", name, attributes), in one pass.
 
-def _left_out(tags: list[re.Match], k: int, name: str, around: set[str]) -> tuple[int, bool]:
-    """Where the content of tag k's element ends: the tag there, and whether it is the element's own."""
-    inside: dict[str, int] = {}
-    for j in range(k + 1, len(tags)):
-        m = tags[j]
-        other = (m.group(3) or "").lower()
-        if not other:
-            continue
-        if m.group(2):
-            if inside.get(other):
-                inside[other] -= 1
-            elif other == name:
-                return j, True
-            elif other in around:
-                return j, False
+    Comments, declarations and the content of raw elements are left out; they, and
+    a tag that is not closed, end with the page at the latest.
+    """
+    at = look = 0
+    while True:
+        i = page.find("<", look)
+        c = page[i + 1 : i + 2] if i >= 0 else ""
+        if i >= 0 and not (c.isascii() and (c.isalpha() or c in "/!?") and c):
+            look = i + 1  # a sign like others
             continue
-        if name in _DRAWN and other in _BREAKS and not any(inside.get(x) for x in _DRAWN_TEXT):
-            return j, False
-        if other not in _VOID and not m.group(4).endswith("/"):
-            inside[other] = inside.get(other, 0) + 1
-    return len(tags), False
+        if (text := page[at : i if i >= 0 else len(page)]) != "":
+            yield "", text, ""
+        if i < 0:
+            return
+        if page.startswith("<!--", i):
+            end = _COMMENT_END.search(page, i + 2 if page.startswith(("<!-->", "<!--->"), i) else i + 4)
+            at = end.end() if end else len(page)
+        elif c in "!?" or (c == "/" and not (page[i + 2 : i + 3].isascii() and page[i + 2 : i + 3].isalpha())):
+            at = page.find(">", i) + 1 or len(page)
+        elif m := _TAG.match(page, i):
+            name, at = m[1].lower(), m.end()
+            if c != "/" and name in _RAW:
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+                yield "<>", name, ""
+            else:
+                yield "</" if c == "/" else "<", name, m[2]
+        else:
+            return
+        look = at
+
+
+class _Open:
+    """The open block elements of a page, from the outermost on, each with its label."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.labels: list[str] = []
+        self.count: Counter = Counter()
+
+    def top(self) -> str:
+        return self.names[-1] if self.names else ""
+
+    def push(self, name: str, label: str) -> None:
+        self.names.append(name)
+        self.labels.append(label)
+        self.count[name] += 1
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all within it."""
+        for name in self.names[k:]:
+            self.count[name] -= 1
+        del self.names[k:], self.labels[k:]
+
+    def find(self, wanted: set[str], fence: set[str] = frozenset()) -> int | None:
+        """The innermost open element of these names, unless a fence stands before it."""
+        if any(self.count[n] for n in wanted):
+            for k in range(len(self.names) - 1, max(len(self.names) - 1 - UP, -1), -1):
+                if self.names[k] in fence:
+                    return None
+                if self.names[k] in wanted:
+                    return k
+        return None
+
+    def close(self, wanted: set[str], fence: set[str] = frozenset()) -> None:
+        if (k := self.find(wanted, fence)) is not None:
+            self.cut(k)
+
+    def hidden(self) -> bool:
+        return any(self.count[n] for n in _HIDDEN)
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(self.labels if len(self.labels) <= OUTER + INNER else self.labels[:OUTER] + self.labels[-INNER:])
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order: the path of enclosing block elements (with class words), decoded text, linked characters."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    text: list[str] = []
-    linked, link, at = 0, False, 0
+    open_, text = _Open(), []
+    linked, link, drawn = 0, False, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
-            if joined and not any(name in _HIDDEN for name, _ in stack):
-                out.append(Block(tuple(label for _, label in stack), joined, min(linked, len(joined))))
+            if joined and not open_.hidden():
+                out.append(Block(open_.path(), joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
-    tags = list(_TAG.finditer(page))
-    partners = _partners(tags)
-    go_on = 0
-    for k, m in enumerate(tags):
-        if k < go_on:
+    for kind, name, more in scan(page):
+        if not kind:
+            if open_.top() == "head" and name.strip():
+                open_.cut(len(open_.names) - 1)
+            text.append(name)
+            linked += len(name) if link else 0
+            continue
+        starts = kind != "</"
+        if open_.top() == "head" and starts and name not in _OF_HEAD:
+            open_.cut(len(open_.names) - 1)
+        if kind == "<>":
+            # in the midst of a drawing or a line a raw element parts nothing
             continue
-        if m.start() > at:
-            piece = page[at : m.start()]
-            if stack and stack[-1][0] == "head" and piece.strip():
-                stack.pop()
-            text.append(piece)
-            linked += len(piece) if link else 0
-        at = m.end()
-        name = m.group(3)
-        if not name:
+        if name in _DRAWN:
+            drawn = max(drawn + (0 if more.endswith("/") else 1 if starts else -1), 0)
             continue
-        name = name.lower()
-        if stack and stack[-1][0] == "head" and not m.group(2) and name not in _OF_HEAD:
-            stack.pop()
+        if drawn:
+            if (starts and name in _BREAKS) or (not starts and open_.count[name]):
+                drawn = 0
+            else:
+                continue
         if name in _INLINE:
             if name == "a":
-                link = not m.group(2)
+                link = starts
             elif name == "br":
                 text.append(" ")
             continue
-        if not m.group(2) and (name in _FENCED or name in _OPEN):
-            if name in _DRAWN and m.group(4).endswith("/"):
-                continue
-            last, own = (partners[k], True) if k in partners else _left_out(tags, k, name, {n for n, _ in stack})
-            go_on = last + own
-            at = len(page) if last == len(tags) else tags[last].end() if own else tags[last].start()
-            continue
         flush()
         link = False
-        if m.group(2):
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] == name:
-                    del stack[j:]
-                    break
+        if not starts:
+            open_.close({name})
             continue
-        if name in _P_CLOSERS and stack and stack[-1][0] == "p":
-            stack.pop()
+        if name in _P_CLOSERS and open_.top() == "p":
+            open_.cut(len(open_.names) - 1)
         if name in _ALONE:
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] in _FENCE.get(name, ()):
-                    break
-                if stack[j][0] in _ALONE[name]:
-                    del stack[j:]
-                    break
-        if name in _VOID:
-            continue
-        found = _NAMES.findall(m.group(4)) if m.group(4) else []
-        words = sorted({w for f in found for w in _PARTS.findall("".join(f).lower())})
-        stack.append((name, " ".join([name, *words])))
-    if at < len(page):
-        if stack and stack[-1][0] == "head" and page[at:].strip():
-            stack.pop()
-        text.append(page[at:])
+            open_.close(_ALONE[name], _FENCE.get(name, frozenset()))
+        if name not in _VOID:
+            words = sorted({w for f in _NAMES.findall(more) for w in _PARTS.findall("".join(f).lower())}) if more else []
+            open_.push(name, " ".join([name, *words]))
     flush()
     return out
 
@@ -183,16 +207,12 @@ EXTRA = 14
 
 
 def _path_dims(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names of the path, and whether known names stand in it."""
-    v = np.zeros(PATHS + 4)
+    """Hashed names of elements and classes along the path, the innermost element's apart."""
+    v = np.zeros(PATHS)
     for label in path:
-        for w in label.split():
-            v[zlib.crc32(w.encode()) % PATHS] += 0.5
         name, *words = label.split()
-        v[PATHS] += name in GOOD
-        v[PATHS + 1] += name in BAD
-        v[PATHS + 2] += sum(w in GOOD_WORDS for w in words)
-        v[PATHS + 3] += sum(w in BAD_WORDS for w in words)
+        for w in (f"<{name}", *words):
+            v[zlib.crc32(w.encode()) % PATHS] += 0.7
     return np.minimum(v, 2)
 
 
@@ -201,7 +221,7 @@ _KNOWN: dict[tuple[str, ...], np.ndarray] = {}
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """One input vector for each block."""
-    x = np.zeros((len(blocks), PATHS + 4 + WORDS + EXTRA), np.float32)
+    x = np.zeros((len(blocks), PATHS + WORDS + EXTRA), np.float32)
     if not blocks:
         return x
     if len(_KNOWN) > 50_000:
@@ -209,16 +229,16 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for k, b in enumerate(blocks):
         if (v := _KNOWN.get(b.path)) is None:
             v = _KNOWN[b.path] = _path_dims(b.path)
-        x[k, : PATHS + 4] = v
+        x[k, :PATHS] = v
     raw = [b.text.lower().encode() for b in blocks]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     codes, at = symbols(Kind(1, 1, words=True), np.frombuffer(b"".join(raw), np.uint8), offsets)
     n = np.diff(at)
     row = np.repeat(np.arange(len(blocks)), n)
     hist = np.bincount(row * WORDS + ((codes >> np.uint64(7)) % np.uint64(WORDS)).astype(np.int64), minlength=len(blocks) * WORDS).reshape(-1, WORDS)
-    x[:, PATHS + 4 : PATHS + 4 + WORDS] = hist / np.sqrt(np.maximum(n, 1))[:, None] * 0.5
+    x[:, PATHS : PATHS + WORDS] = hist / np.sqrt(np.maximum(n, 1))[:, None] * 0.5
     size = np.array([len(b.text) for b in blocks])
-    extra = x[:, PATHS + 4 + WORDS :]
+    extra = x[:, PATHS + WORDS :]
     extra[:, 0] = np.log1p(size) / 6
     extra[:, 1] = np.array([b.linked for b in blocks]) / size
     extra[:, 2] = np.log1p(n) / 5
@@ -311,16 +331,20 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed: int = 5) -> Lstm:
     """Adam on the mean cross entropy of all blocks of (vectors, labels)."""
-    pages = [(x[:BLOCKS], y[:BLOCKS]) for x, y in pages if len(x)]
+    pages = [(x, y) for x, y in pages if len(x)]
     net, rng = Lstm(pages[0][0].shape[1], seed), np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in net.w.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.w.items()}
     for step in range(1, steps + 1):
         pick = rng.choice(len(pages), min(BATCH, len(pages)), replace=False)
-        x, size = _padded([pages[k][0] for k in pick])
+        # of a long page a stretch from anywhere in it
+        part = [pages[k] for k in pick]
+        start = [int(rng.integers(0, max(len(p[1]) - BLOCKS, 0) + 1)) for p in part]
+        part = [(p[0][a : a + BLOCKS], p[1][a : a + BLOCKS]) for p, a in zip(part, start, strict=True)]
+        x, size = _padded([p[0] for p in part])
         y = np.zeros(x.shape[:2], np.int64)
-        for j, k in enumerate(pick):
-            y[: size[j], j] = pages[k][1]
+        for j, p in enumerate(part):
+            y[: size[j], j] = p[1]
         live = (np.arange(len(x))[:, None] < size[None, :])[:, :, None]
         out, kept = net.forward(x, size, keep=True)
         d = softmax(out, 2)
@@ -395,12 +419,19 @@ def invented(count: int, seed: int = 3) -> list[tuple[list[Block], np.ndarray]]:
     return out
 
 
+def sample(pages: DataFrame) -> list[str]:
+    """At most 2 * SAMPLE pages that have an article or main element, of bounded size, chosen by a hash of their content."""
+    able = pages.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < SAMPLE_CHARS)).select("html")
+    n = able.count()
+    some = able.where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, SAMPLE / max(n, 1))))
+    return sorted(r["html"] for r in some.limit(2 * SAMPLE).collect())
+
+
 def fit(pages: DataFrame) -> Lstm:
-    """The labeller, from invented pages and at most SAMPLE pages that have an article or main element."""
-    rows = pages.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < SAMPLE_CHARS)).select("html").orderBy(F.xxhash64("html")).limit(SAMPLE).collect()
+    """The labeller, from invented pages and a bounded sample of the table's."""
     examples = [(vectors(b), y) for b, y in invented(INVENTED)]
-    for r in rows:
-        blocks = blocks_of(r["html"])
+    for page in sample(pages):
+        blocks = blocks_of(page)
         examples.append((vectors(blocks), label_by_elements(blocks)))
     return train(examples)
 
@@ -429,7 +460,10 @@ def extract(pages: DataFrame, net: Lstm | None = None) -> DataFrame:
     """The input's rows and columns, with the main text in ``text`` and its code points in ``n_chars`` in place of columns of these names.
 
     Blocks follow page order, joined by an empty line.  Null or empty html, and
-    pages without main text, give an empty text.  Repeated rows give repeated rows.
+    pages without main text, give an empty text; pages of any length are read
+    whole, in time that grows with their length; where both labels are as likely a
+    block is left out.  Repeated rows give repeated rows with equal texts, an empty
+    table no rows; other columns stay as they are, whatever their names.
     """
     net = net or fit(pages)
     rest = others(pages, "text", "n_chars")

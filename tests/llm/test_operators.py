@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -156,9 +158,13 @@ def test_html_text(spark):
         ("<title-card><p>One</p></title-card><select-box>Two</select-box><p>Three", ["One", "Two", "Three"]),
         ('<p>One</p><svg viewBox="0 0 1 1" /><p>Two <math/> and</p><p>Three</p>', ["One", "Two and", "Three"]),
         ('<p>One <svg><title>no</title><path d="x"/></svg> and</p><p>Two', ["One and", "Two"]),
-        ("<svg><path><p>One</p><svg><foreignObject><p>no</p></foreignObject></svg><p>Two", ["One", "Two"]),
-        ("<div><canvas>no</div>One<div><select><option>no</div>Two", ["One", "Two"]),
-        ("<div><template><div>no</div></div>no</template>One</div><object>no<object>no</object>no</object>Two", ["One", "Two"]),
+        ("<svg><path><p>One</p><svg><text>of <tspan>it</tspan></text></svg><p>Two", ["One", "of it", "Two"]),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=x>instead <b>this</b></object>", ["where x=2 holds", "instead this"]),
+        ("<div><canvas>a chart</div>One<div><select><option>no</div>Two", ["a chart", "One", "Two"]),
+        ("<div><template><div>no</div>no</template>One</div>Two", ["One", "Two"]),
+        ("<p title=it's>Hello world.</p><p>Don't stop.</p>", ["Hello world.", "Don't stop."]),
+        ("<p a=\"x>y\" b='>' c = z>One</p><p title=\"never ends>Two</p>Three", ["One", "Two", "Three"]),
+        ("a < b <3 <!-- no --> c<!doctype x><?no ?></ no>d <!----><b>e</b> <p>f <a href='x", ["a < b <3 cd e", "f"]),
         ("One<script>no</script >Two<style>no</style x><p>Three", ["OneTwo", "Three"]),
     ],
 )
@@ -183,6 +189,57 @@ def test_html_head_ends_without_its_tag(page, paths, texts):
     assert [b.text for b in got] == texts and [" ".join(b.path) for b in got] == paths
 
 
+class Plain(HTMLParser):
+    """Text of pages by the library's parser, white space and all block structure left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "title", "textarea", "select", "template", "noscript", "iframe")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "title", "textarea", "select", "template", "noscript", "iframe")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+def test_html_blocks_hold_all_text_of_the_pages(spark):
+    """Every page's blocks together against another parser, and the query's rows against the elements that hold the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        assert "".join("".join(plain.text).split()) == "".join("".join(b.text.split()) for b in html_text.blocks_of(r["html"]))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op4_html_text(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages.collect():
+        blocks = html_text.blocks_of(r["html"])
+        text = "\n\n".join(b.text for b, y in zip(blocks, html_text.label_by_elements(blocks), strict=True) if y)
+        assert got[r["page_id"]] == (text, len(text))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>x" * 60_000, "<!--" * 200_000, "<script>" * 100_000, "<" * 500_000, "</x>" * 100_000 + "<b " * 100_000 + '">', '<a b="' * 100_000 + ">", "<li><ul>" + "<div>" * 9_000 + "<li></li>" * 30_000])
+def test_html_time_grows_with_the_page(page):
+    began = time.process_time()
+    html_text.blocks_of(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_labels_do_not_rest_on_class_names(spark):
+    """Pages whose class names training never met: elements, links and neighbours must do."""
+    net = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    right = []
+    for blocks, y in html_text.invented(150, seed=78):
+        if not any(label.split()[0] in (*html_text.BAD, *html_text.GOOD) for b in blocks for label in b.path):
+            continue
+        strange = [html_text.Block(tuple(" ".join([n := label.split()[0], *(f"q{w[::-1]}z" for w in label.split()[1:])]) for label in b.path), b.text, b.linked) for b in blocks]
+        right.append(html_text.label(net, [strange])[0] == y)
+    assert len(right) > 40 and np.concatenate(right).mean() > 0.9
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()]
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0
