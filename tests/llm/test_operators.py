@@ -250,16 +250,58 @@ def test_pii(spark, docs, empty):
     table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     got = pii.pseudonymise(table).orderBy("doc_id").toPandas()
     words = [(t or "").split() for t in got.text]
-    assert words[0][1:5] == [words[0][6][k : k + 4] for k in range(0, 16, 4)] and luhn_ok(words[0][6]) and words[0][6] != "4111111111111111" and not luhn_ok(words[0][7])
+    assert words[0][1:5] == [words[0][6][k : k + 4] for k in range(0, 16, 4)] and luhn_ok(words[0][6]) and words[0][6] != "4111111111111111" and words[0][7] == "(1234567890123456)"
     assert words[1][1] == "1999-02-30" and words[1][3] != "1999-02-28" and words[1][3][4] == "-"
     assert words[2][1] != "10.0.0.1," and words[2][2:] == ["300.1.1.1,", "v1.2.3.4.5,", "Apache", "2.0"]
     assert words[3][1] != "123-45-6789," and words[3][2] == "+49" and got.text[3].endswith("!") and "555-7713" not in got.text[3]
     assert words[4][0] == words[4][1].replace("U", "u") and "co.uk" not in got.text[4]
     assert got.text[5] is None and got.text[6] == "" and "04dbe" not in got.text[7] and len(got.text[7]) == len(texts[7]) and got.text[8] == texts[8]
-    assert got.n_replaced.tolist() == [3, 1, 1, 2, 2, 0, 0, 1, 0]
+    assert got.n_replaced.tolist() == [2, 1, 1, 2, 2, 0, 0, 1, 0]
     assert pii.pseudonymise(docs).columns[: len(docs.columns)] == docs.columns and pii.pseudonymise(empty).count() == 0
 
 
+def plain_digits(kind, digits, key=pii.KEY):
+    """The digits' permutation, written out: a Feistel network over two halves, its noise from a keyed digest."""
+    u = len(digits) // 2
+    size = (10**u, 10 ** (len(digits) - u))
+    a, b = int(digits[:u]), int(digits[u:])
+    for i in range(pii.ROUNDS):
+        n = size[i % 2]
+        noise = int(hashlib.sha256(f"{key}|{kind}|{size[0]}|{size[1]}|{i}|{b}".encode()).hexdigest()[:15], 16) % n
+        a, b = b, (a + noise) % n
+    return f"{a:0{u}d}{b:0{len(digits) - u}d}"
+
+
+def test_pii_equals_a_plain_version_and_leaves_what_is_not_valid(spark):
+    def luhn_digit(d):
+        return next(str(c) for c in range(10) if luhn_ok(d + str(c)))
+
+    cards = {"4111111111111111": 1, "5500005555555559": 2, "378282246310005": 2, "6011000990139424": 1, "30569309025904": 3, "2223003122003222": 4}
+    for card, head in cards.items():
+        body = card[:head] + plain_digits("number", card[head:-1])
+        cards[card] = body + luhn_digit(body)
+    same = "5000000000000 20240101123456 7536784127813050 +1 2024 12 31 000-00-0000 666-12-3456 123-00-4567 112-555-0199 DE89370400440532013001 4111111111111112 1.4111111111111111 99/99/1990 30/02/1990"
+    moved = "No.4111111111111111 ref-4111111111111111 3782 822463 10005 212.555.0199 212 555 0199 25/12/1990 DE89370400440532013000 GB82 WEST 1234 5698 7654 32"
+    rows = [(0, " ; ".join(cards)), (1, same), *[(2 + k, x) for k, x in enumerate(moved.replace("No.", "|No.").replace(" ref", "|ref").replace(" 3782", "|3782").replace(" 212", "|212").replace(" 25/", "|25/").replace(" DE", "|DE").replace(" GB", "|GB").split("|")[1:])]]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == " ; ".join(cards.values()) and got[1].text == same and got[1].n_replaced == 0
+    assert all(got[k].n_replaced == 1 and len(got[k].text) == len(t) for k, t in rows[2:])
+    for k, t in rows[-2:]:
+        x = got[k].text.replace(" ", "")
+        assert x[:2] == t[:2] and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert got[rows[-1][0]].text[5:9] == "WEST"
+    other = pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), key="another").first().text
+    assert other != got[0].text and all(luhn_ok(x) for x in other.split(" ; "))
+
+
+def test_pii_odd_rows(docs, empty):
+    """No value that anyone could tell, so all rows stay, whatever their texts and columns."""
+    got = pii.pseudonymise(docs).toPandas()
+    assert got.drop(columns="n_replaced").map(str).values.tolist() == docs.toPandas().map(str).values.tolist() and (got.n_replaced == 0).all()
+    long = docs.sparkSession.createDataFrame([(1, prose(90_000, 50) + " 4111111111111111 " + prose(90_000, 51)), (1, None), (None, "")], "doc_id long, text string")
+    assert sorted(r.n_replaced for r in pii.pseudonymise(long).collect()) == [0, 0, 1] and pii.pseudonymise(empty).count() == 0
+
+
 def test_pii_is_a_permutation(spark):
     three = spark.range(1000).select(pii.permute_digits("t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
     assert three.distinct().count() == 1000
