@@ -16,14 +16,13 @@ from .common import concatenated, map_slices, others, quoted, widened
 
 UNITS = 12
 SPAN = 64
-#: Bounds of the training sample: languages, documents a language (about), characters a document.
-LANGUAGES = 64
+#: Bounds of the training sample, for each language that a label names: documents (about), characters a document.
 PER_LANGUAGE = 500
 SAMPLE_CHARS = 512
 STEPS = 400
 BATCH = 256
-#: Spans that run side by side in a worker.
-WIDE = 4096
+#: Spans that run side by side in a worker, and output values of theirs (with many languages fewer spans).
+WIDE, VALUES = 4096, 1 << 21
 
 #: ASCII letters count in lower case.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -178,13 +177,14 @@ def probabilities(net: Net, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     classes, n = len(net.w["c"]), len(offsets) - 1
     total, count = np.zeros((classes, n)), np.zeros(n)
     first, end, who = spans(offsets)
-    for start in range(0, len(who), WIDE):
-        part, live = span_bytes(buf, first[start : start + WIDE], end[start : start + WIDE])
+    wide = min(WIDE, max(16, VALUES // (SPAN * classes)))
+    for start in range(0, len(who), wide):
+        part, live = span_bytes(buf, first[start : start + wide], end[start : start + wide])
         out, _ = net.forward(part)
         np.exp(np.minimum(out, 60, out=out), out=out)
         out *= (live / out.sum(axis=1))[:, None, :]
         per_span = out.sum(axis=0)
-        w = who[start : start + WIDE]
+        w = who[start : start + wide]
         for k in range(classes):
             total[k] += np.bincount(w, per_span[k], n)
         count += np.bincount(w, live.sum(axis=0), n)
@@ -192,17 +192,18 @@ def probabilities(net: Net, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """At most LANGUAGES * 2 * PER_LANGUAGE labelled passages of at most SAMPLE_CHARS characters, chosen by hashes of the ids."""
+    """About PER_LANGUAGE labelled passages of each language, at most twice as many in all, of at most SAMPLE_CHARS characters, chosen by hashes of the ids."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    langs = known.groupBy("lang").count().collect()  # one row a language
     if not langs:
         return []
-    share = F.create_map(*[F.lit(v) for r in langs for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])[F.col("lang")]
+    share = F.broadcast(known.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANGUAGE / r["count"])) for r in langs], "lang string, _qn_share double"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     rows = (
-        known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003)
+        known.join(share, "lang")
+        .where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < F.col("_qn_share") * 1_000_003)
         .select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"))
-        .limit(LANGUAGES * 2 * PER_LANGUAGE)
+        .limit(len(langs) * 2 * PER_LANGUAGE)
         .collect()
     )
     return [(r["lang"], r["text"].encode()) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
@@ -219,7 +220,10 @@ def identify(docs: DataFrame, model: tuple[list[str], Net] | None = None) -> Dat
     """The input's rows and columns, with lang_pred and score in place of columns of these names.
 
     lang_pred is ``und`` and score 0 where the text is null or has no letter, or
-    where no language was learned.  Equal texts get equal labels.
+    where no language was learned.  Texts of any length are read whole.  Equal
+    texts, so repeated rows, get equal labels; of equally likely languages the
+    first by name counts.  An empty table gives no rows; other columns stay as they
+    are, whatever their names.
     """
     langs, net = model or fit(docs)
     rest = others(docs, "lang_pred", "score")

@@ -51,15 +51,16 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_top(queries: pa.Table, candidates: pa.Table, top: int = TOP) -> pa.Table:
-    """The block's best candidates of each query; candidates with the query's own id are left out."""
-    ids = candidates.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
+    """The block's best candidates of each query; the query's own row is left out."""
+    ids, own = candidates.column("vec_id").to_numpy(), candidates.column("row").to_numpy()
+    order = np.lexsort((own, ids))
     vectors = candidates.column("v").to_pylist()
     lists = postings([np.array(vectors[k], np.int64) for k in order.tolist()])
-    ids = ids[order]
-    q_out, c_out, s_out = [], [], []
+    ids, own = ids[order], own[order]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     scores, weighted = np.zeros(len(ids), np.int64), np.empty(len(ids), np.int64)
-    for q, row in zip(queries.column("query_id").to_pylist(), queries.column("v").to_pylist(), strict=True):
+    names = zip(*(queries.column(c).to_pylist() for c in ("query_id", "q_row", "q_v")), strict=True)
+    for q, q_row, row in names:
         scores[:] = 0
         for t, w in enumerate(row):
             if w and t < len(lists):
@@ -69,38 +70,45 @@ def block_top(queries: pa.Table, candidates: pa.Table, top: int = TOP) -> pa.Tab
                     scores += weighted
                 else:
                     scores[at] += weights * w
-        lo, hi = np.searchsorted(ids, [q, q + 1])
-        if lo == hi:
-            k = best(scores, top)
-        else:
-            others = np.concatenate([np.arange(lo), np.arange(hi, len(ids))])
+        if len(self_at := np.flatnonzero(own == q_row)):
+            others = np.delete(np.arange(len(ids)), self_at)
             k = others[best(scores[others], top)]
-        q_out.append(np.full(len(k), q))
-        c_out.append(ids[k])
-        s_out.append(scores[k])
-    cat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-    return pa.table({"query_id": cat(q_out), "vec_id": cat(c_out), "score": cat(s_out)})
+        else:
+            k = best(scores, top)
+        for column, values in zip(out, (np.full(len(k), q_row), np.full(len(k), q), ids[k], own[k], scores[k]), strict=True):
+            column.append(values)
+    cat = [np.concatenate([np.zeros(0, np.int64), *parts]) for parts in out]
+    return pa.table(dict(zip(("q_row", "query_id", "vec_id", "row", "score"), cat, strict=True)))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score for queries (query_id, v) against candidates (vec_id, v), v array<long>.
 
-    Ties go to the smaller vec_id.  A query whose id a candidate bears does not
-    meet that candidate.  Null ids take no part; components that one side lacks
-    count as 0; components should stay below 2^20 for sums to fit a long.  An
-    empty side gives no rows; repeated query rows count once.
+    Both sides may have a column row (long) that numbers their rows; a query does
+    not meet the candidate of its own number.  Without it ids number rows: a query
+    does not meet candidates of its id, and repeated query rows count once.  Ties
+    go to the smaller vec_id, then to the smaller row.  Null ids take no part;
+    empty vectors score 0; components that one side lacks count as 0; vectors of
+    any length are read whole, and components should stay below 2^20 for sums to
+    fit a long.  An empty side gives no rows; other columns are ignored, whatever
+    their names.
     """
-    candidates = candidates.where("vec_id is not null").select("vec_id", "v")
-    queries = queries.where("query_id is not null").select("query_id", "v").dropDuplicates(["query_id"])
+    candidates = candidates.where("vec_id is not null").select("vec_id", "v", *(["row"] if "row" in candidates.columns else [F.col("vec_id").alias("row")]))
+    queries = queries.where("query_id is not null")
+    # names and attributes of their own, as both sides may stem from one table
+    queries = queries.select("query_id", F.col("v").alias("q_v"), F.col("row" if "row" in queries.columns else "query_id").alias("q_row")).dropDuplicates(["q_row"])
     n_c, n_q = candidates.count(), queries.count()
     b_c, b_q = max(1, -(-n_c // CANDIDATE_BLOCK)), max(1, -(-n_q // QUERY_BLOCK))
-    deal = lambda col, n: F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
-    c = candidates.select("vec_id", "v", deal("vec_id", b_c).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))).alias("_q"))
-    q = queries.select("query_id", "v", deal("query_id", b_q).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(b_c - 1))).alias("_c"))
+    deal = lambda row, n: F.pmod(F.xxhash64(F.col(row)), F.lit(n)).cast("int")
+    c = candidates.select("vec_id", "v", "row", deal("row", b_c).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))).alias("_q"))
+    q = queries.select("query_id", "q_v", "q_row", deal("q_row", b_q).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(b_c - 1))).alias("_c"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if "q_v" not in left.column_names or "v" not in right.column_names:  # a cell lacks one side
+            none = lambda *names: pa.table({n: pa.array([], pa.list_(pa.int64()) if n[-1] == "v" else pa.int64()) for n in names})
+            left, right = none("query_id", "q_row", "q_v"), none("vec_id", "row", "v")
         return block_top(left, right, top)
 
-    found = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(cell, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(cell, "q_row long, query_id long, vec_id long, row long, score long")
+    w = Window.partitionBy("q_row", "query_id").orderBy(F.desc("score"), "vec_id", "row")
     return found.select("query_id", F.row_number().over(w).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= top)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from tests import compare
 from quillnet.llm import bpe, html_text, jaccard_join, langid, media, packing, pii, queries, repeats, substring_dedup, suffix_dedup, topk
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +93,44 @@ def test_language_id_gradients():
         assert math.isclose((up - down) / 2e-2, grad[j], rel_tol=0.05, abs_tol=1e-2)
 
 
+def test_language_id_equals_a_plain_version(spark):
+    """The network's probabilities, position by position and gate by gate."""
+    net = langid.Net(5)
+    texts = [b"", b"Abc def", "Größe und Maß, très élégant".encode(), bytes(R.integers(32, 250, 300).astype(np.uint8))]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    want = np.zeros((len(texts), 5))
+    for k, t in enumerate(texts):
+        total, count = np.zeros(5), 0
+        for a in range(0, len(t), langid.SPAN):
+            piece = [b + 32 if 65 <= b <= 90 else b for b in t[a : a + langid.SPAN]]
+            data = piece + [32] * (langid.SPAN - len(piece))
+            outs = np.zeros((langid.SPAN, 5))
+            for side, order in ((0, range(langid.SPAN)), (1, reversed(range(langid.SPAN)))):
+                h, w = np.zeros(langid.UNITS), net.w
+                for p in order:
+                    x, r, b = w["x"][side][:, data[p]], w["u"][side] @ h, w["b"][side][:, 0]
+                    u = langid.UNITS
+                    z, g = sig(x[:u] + r[:u] + b[:u]), sig(x[u : 2 * u] + r[u : 2 * u] + b[u : 2 * u])
+                    c = np.tanh(x[2 * u :] + g * (r[2 * u :] + b[2 * u :]))
+                    h = z * h + (1 - z) * c
+                    outs[p] += w["o"][side] @ h
+            for p, b in enumerate(piece):
+                if 97 <= b <= 122 or b >= 128:
+                    total += langid.softmax(outs[p] + net.w["c"][:, 0], 0)
+                    count += 1
+        want[k] = total / max(count, 1)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = langid.probabilities(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_language_id_has_no_bound_on_languages(spark):
+    """A hundred languages, each of letters of its own."""
+    rows = [(k, " ".join(chr(0x4E00 + 40 * (k % 100) + int(x)) * 3 for x in R.integers(0, 3, 30)), f"l{k % 100:02d}") for k in range(1000)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.9 and got.lang_pred.nunique() > 90
+
+
 def test_language_id_odd_rows(docs, empty):
     got = langid.identify(docs).toPandas()
     assert len(got) == docs.count() and "Score" not in got.columns
@@ -324,6 +363,49 @@ def test_media(docs, empty):
 ODD = ["a  b", " lead", "trail ", "a\n\n b", "don't WE'LL I'm", "<|endoftext|>a <|endoftext|> b", "a\x1cb \x85 c", "^ ^a b ^c", "1234 567", "日本語 😀", "é b  c", "x" * 300, "ab" * 3000, "a b　c"]
 
 
+def test_media(docs, empty):
+    got = media.media_columns(docs).toPandas()
+    assert len(got) == docs.count() and media.media_columns(empty).count() == 0
+    for r in got.itertuples():
+        assert len(r.payload) % 192 == 0 and len(r.payload) and bytes(r.media)[44:] == bytes(r.payload)
+    shown = media.media_digest(media.media_columns(docs)).toPandas()
+    assert shown[shown.doc_id == 6].feature.tolist() == shown[shown.doc_id == 7].feature.tolist()
+    tone = (128 + 100 * np.sin(2 * np.pi * 10 * np.arange(1920) / 192)).astype(np.uint8).tobytes()
+    codes = media.fingerprint(tone)
+    assert len(set(zip(codes["time"].tolist(), codes["hash"].tolist(), strict=True))) == len(codes) and (np.diff(codes["time"].astype(int)) >= 0).all()
+
+
+ODD = ["a  b", " lead", "trail ", "a\n\n b", "don't WE'LL I'm", "<|endoftext|>a <|endoftext|> b", "a\x1cb \x85 c", "^ ^a b ^c", "1234 567", "日本語 😀", "é b  c", "x" * 300, "ab" * 3000, "a b　c"]
+
+
+def test_media_equals_a_plain_version(spark):
+    """Every digest of the query from the text itself, the file's header written out, the transform as plain sums."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_media_columns(spark, SF).collect()}
+    rows = table.orderBy(F.octet_length("text")).collect()
+    for n, r in enumerate(rows):
+        text = (r.text or "").encode()
+        payload = text + b" " * (-len(text) % 192 or (192 if not text else 0))
+        head = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0]) + (8000).to_bytes(4, "little") * 2 + bytes([1, 0, 8, 0]) + b"data" + len(payload).to_bytes(4, "little")
+        x = got[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (x.media_bytes, x.media_sha256) == (44 + len(payload), hashlib.sha256(head + payload).hexdigest())
+        if n % 20 == 0 and len(payload) < 20_000:
+            t = np.arange(192)
+            wave = np.exp(-2j * np.pi * np.outer(np.arange(97), t) / 192)
+            window = 0.5 - 0.5 * np.cos(2 * np.pi * t / 191)
+            codes, peaks = [], []
+            for a in range(0, len(payload), 192):
+                f = np.frombuffer(payload[a : a + 192], np.uint8) - 128.0
+                power = np.abs(wave @ ((f - f.mean()) * window))
+                peaks.append([lo + int(power[lo:hi].argmax()) for lo, hi in media.BANDS])
+            for i, early in enumerate(peaks):
+                for step in range(1, media.FAN_OUT + 1):
+                    if i + step < len(peaks):
+                        codes += [(i, (a * 97 + b) * media.FAN_OUT + step - 1) for a, b in zip(early, peaks[i + step], strict=True)]
+            assert x.feature.split(":")[0] == str(len(codes)) and x.feature.split(":", 2)[2] == ",".join(f"{a}-{b}" for a, b in sorted(codes)[:8])
+
+
 def test_bpe_equals_the_library(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder, library = bpe.ByteBpe(path), Tokenizer.from_file(path)
@@ -351,6 +433,29 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(3), table.where("false").withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
+def test_top_k_odd_rows(spark):
+    """Repeated ids and rows, null ids, an empty vector, ties, clashing columns, empty sides."""
+    rows = [(100, [1, 2], 0), (100, [1, 2], 1), (100, [3, 0], 2), (7, [1, 2], 3), (None, [9, 9], 4), (8, [], 5), (5, [1, 2, 4], 6), (200, [0, 0, 1], 7)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, v array<long>, row long, score string")
+    asked = table.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    got = sorted(tuple(r) for r in topk.top_k(table, asked, 4).collect())
+    want = []
+    for q, v, row in rows:
+        if q is not None and q % 100 == 0:
+            all_ = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c, r) for c, w, r in rows if c is not None and r != row)
+            want += [(q, k + 1, c, -s) for k, (s, c, _) in enumerate(all_[:4])]
+    assert got == sorted(want)
+    plain = topk.top_k(table.drop("row"), asked.drop("row"), 3)
+    assert {r.query_id for r in plain.collect()} == {100, 200} and plain.where("query_id = vec_id").count() == 0
+    assert topk.top_k(table.where("false"), asked).count() == 0 and topk.top_k(table, asked.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert compare.rows(queries.queries()[name](spark, sf).toPandas()) == compare.rows(compare.oracle(sf).sql(queries.oracle_sql()[name]).df())
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
