@@ -149,7 +149,7 @@ def _sets(docs: DataFrame, members: DataFrame, gram: int) -> DataFrame:
         sets = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "parts", "item", "bands")), pa.array(sets, pa.binary())], ["cluster", "parts", "item", "bands", "grams"])
 
-    return map_slices(joined, fn, "cluster binary, parts int, item binary, bands array<long>, grams binary", limit=2 << 20)
+    return map_slices(joined, fn, "cluster long, parts int, item binary, bands array<long>, grams binary", limit=2 << 20)
 
 
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
@@ -193,11 +193,13 @@ def _joined(docs: DataFrame, threshold: float, gram: int, recall: float, rows: i
     table = materialise(_profiles(keyed, gram, bands, rows), "profiles")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "_qn_k1")
     classes = table.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("_qn_k0", "_qn_k1"), first).alias("key"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    classes = materialise(classes.select("item", "class_id", "key.*", "n_grams", "bands"), "classes")
-    hubs = classes.select("item", F.posexplode("bands").alias("band", "value")).select("item", F.xxhash64("band", "value").alias("hub"))
+    # clusters are found over 64-bit numbers of classes; two classes of one number only share a cluster
+    classes = materialise(classes.select("item", F.xxhash64("item").alias("node"), "class_id", "key.*", "n_grams", "bands"), "classes")
+    hubs = classes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("hub"))
     met = materialise(hubs.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub"), "met")
-    clusters = components(hubs.join(met, "hub")).withColumnRenamed("component", "cluster")
-    members = materialise(clusters.join(classes.select("item", "_qn_k0", "_qn_k1", "n_grams", "bands"), "item"), "members")
+    # nothing bounds these tables, so none is broadcast
+    clusters = components(hubs.join(met.hint("merge"), "hub").select(F.col("node").alias("item"), "hub")).toDF("node", "cluster")
+    members = materialise(clusters.join(classes.select("node", "item", "_qn_k0", "_qn_k1", "n_grams", "bands"), "node").drop("node"), "members")
     parts = F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int")
     sizes = materialise(members.groupBy("cluster").agg(parts.alias("parts")), "sizes")
     sets = _sets(keyed.select("_qn_k0", "_qn_k1", "text"), members.join(sizes, "cluster").drop("n_grams"), gram)
