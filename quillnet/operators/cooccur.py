@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _table
+
 ORDER = ("npmi", "sentences", "documents", "a", "b")
 
 
@@ -55,11 +57,12 @@ def npmi_edges(mentions: DataFrame) -> DataFrame:
 def rank_edges(edges: DataFrame) -> DataFrame:
     """Edges with their place in the total order, weakest first (npmi to nine digits).
 
-    Rank within a range of npmi plus the count of all ranges before it, so no
-    single task sorts all edges.
+    The edges are dealt by ranges of the whole order, so ties at one weight part as
+    well; an edge's rank is its row in its range plus the rows of all ranges before.
     """
-    e = edges.withColumn("npmi", F.round("npmi", 9)).withColumn("_range", F.floor(F.col("npmi") * 512).cast("int"))
-    counts = e.groupBy("_range").agg(F.count("*").alias("_c"))  # npmi lies in -1..1: at most 1025 ranges
+    dealt = edges.withColumn("npmi", F.round("npmi", 9)).repartitionByRange(*ORDER).withColumn("_range", F.spark_partition_id())
+    e = _table(dealt, "ranges")
+    counts = e.groupBy("_range").agg(F.count("*").alias("_c"))  # one row a partition
     before = counts.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     row = F.row_number().over(Window.partitionBy("_range").orderBy(*ORDER))
     return e.withColumn("_row", row).join(F.broadcast(before), "_range").withColumn("rank", F.col("_row") + F.col("_before")).drop("_range", "_row", "_before")

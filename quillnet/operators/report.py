@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def community_count(members: DataFrame) -> DataFrame:
+    """One row: the number of communities."""
+    return members.select("community").distinct().agg(F.count("*").alias("communities"))
+
+
 def rank_clusters(nodes: DataFrame, key: str = "community", drop_ties: bool = False) -> DataFrame:
     """Nodes (id, key, wdegree) with their rank in the cluster by weighted degree; drop_ties keeps the first of equal degrees only."""
     nodes = nodes.withColumn("wdegree", F.round("wdegree", 6))
@@ -28,14 +33,30 @@ def histogram(values: DataFrame, column: str, low: float, width: float, bins: in
     return values.select(b.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def sturges_breaks(n: int, low: float, high: float) -> list[float]:
-    """Round break points, about log2(n) + 1 of them, that cover low..high."""
+def sturges_breaks(n: int, low: float, high: float) -> tuple[float, int, int]:
+    """Cells (width, first, last): breaks at width times first..last that cover low..high, about log2(n) + 1 cells of a round width.
+
+    The width is 1, 2, 5 or 10 times a power of ten, by the thresholds of R's pretty().
+    """
     want = math.ceil(math.log2(max(n, 1)) + 1)
     cell = (high - low) / want or 1.0
     base = 10.0 ** math.floor(math.log10(cell))
-    step = next(m * base for m in (1, 2, 5, 10) if m * base >= cell * 0.7)
-    first, last = math.floor(low / step + 1e-9), math.ceil(high / step - 1e-9)
-    return [k * step for k in range(first, last + 1)]
+    # fixed values: thresholds of the multiples
+    times = next((m for m, most in ((1, 1.4), (2, 2.8), (5, 7.0)) if cell / base <= most), 10)
+    width = times * base
+    return width, math.floor(low / width + 1e-7), math.ceil(high / width - 1e-7)
+
+
+def sturges_histogram(values: DataFrame, column: str) -> DataFrame:
+    """bin (0-based), low, high and count of values in cells of Sturges' number and a round width, closed on the right, the first one on both sides."""
+    x = F.round(column, 9)
+    known = values.where(F.col(column).isNotNull())
+    n, low, high = known.agg(F.count("*"), F.min(x), F.max(x)).first()  # one row
+    width, first, last = sturges_breaks(n, low or 0.0, high or 0.0)
+    place = F.ceil(F.round(x / width, 6) - first) - 1
+    bins = known.select(F.greatest(F.least(place, F.lit(max(last - first - 1, 0))), F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    edge = lambda k: F.round((F.col("bin") + (first + k)) * width, 9)
+    return bins.select("bin", edge(0).alias("low"), edge(1).alias("high"), "n")
 
 
 def between(edges: DataFrame, column: str, low: int, high: int | None = None) -> DataFrame:

@@ -30,16 +30,22 @@ def build_clusters(edges: DataFrame, resolution: float = graph.RESOLUTION) -> Da
     nodes, strong = graph.filtered_graph(edges)
     member = graph.louvain(nodes, strong, resolution)
     sized = graph.scale_size(graph.weighted_degree(strong))
-    numbered = member.select("community").distinct().withColumn("number", F.row_number().over(Window.orderBy("community")) - 1)
-    return report.label_nodes(member.join(sized, "id").join(F.broadcast(numbered), "community").withColumn("cluster", F.col("number")).drop("number"), "cluster")
+    # communities are numbered within ranges of their ids plus the count of all ranges before
+    named = graph._table(member.select("community").distinct().repartitionByRange("community").withColumn("part", F.spark_partition_id()), "communities")
+    sizes = named.groupBy("part").agg(F.count("*").alias("c"))
+    before = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    row = F.row_number().over(Window.partitionBy("part").orderBy("community"))
+    numbered = named.withColumn("row", row).join(F.broadcast(before), "part").select("community", (F.col("row") + F.col("before") - 1).cast("int").alias("cluster"))
+    return report.label_nodes(member.join(sized, "id").join(numbered, "community"), "cluster")
 
 
 def statistics(edges: DataFrame) -> dict[str, DataFrame]:
     """Histograms of weights and frequency tables of documents and sentences, over unfiltered edges."""
+    edges = graph._table(edges, "edges")
     return {
-        "weights": report.histogram(edges, "npmi", -1.0, 0.1, 20),
-        "weights_of_2_to_30_documents": report.histogram(report.between(edges, "documents", 2, 30), "npmi", -1.0, 0.1, 20),
-        "weights_of_2_sentences": report.histogram(report.between(edges, "sentences", 2), "npmi", -1.0, 0.1, 20),
+        "weights": report.sturges_histogram(edges, "npmi"),
+        "weights_of_2_to_30_documents": report.sturges_histogram(report.between(edges, "documents", 2, 30), "npmi"),
+        "weights_of_2_sentences": report.sturges_histogram(report.between(edges, "sentences", 2), "npmi"),
         "documents": report.bucket_table(edges, "documents", 5),
         "sentences": report.bucket_table(edges, "sentences", 7),
     }

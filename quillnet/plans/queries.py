@@ -240,6 +240,11 @@ def _(spark, d):
     return graph.louvain(*graph.filtered_graph(_edges(spark, d)))
 
 
+@query("community_count")
+def _(spark, d):
+    return report.community_count(graph.louvain(*graph.filtered_graph(_edges(spark, d))))
+
+
 @query("clusters")
 def _(spark, d):
     return lifecycle.build_clusters(_edges(spark, d))
@@ -247,21 +252,27 @@ def _(spark, d):
 
 # statistics -----------------------------------------------------------------
 def _hist_sql(where: str) -> str:
-    return f"WITH {_E} SELECT least(floor((round(npmi, 9) - -1.0) / 0.1), 19)::INTEGER AS bin, count(*) AS n FROM d WHERE {where} GROUP BY 1"
+    return f"""WITH {_E}, v AS (SELECT round(npmi, 9) AS x FROM d WHERE {where}), z AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi FROM v),
+c AS (SELECT *, (hi - lo) / ceil(log2(n) + 1) AS cell FROM z), o AS (SELECT *, pow(10.0, floor(log10(cell))) AS base FROM c),
+w AS (SELECT *, base * CASE WHEN cell / base <= 1.4 THEN 1 WHEN cell / base <= 2.8 THEN 2 WHEN cell / base <= 7 THEN 5 ELSE 10 END AS width FROM o),
+k AS (SELECT width, floor(lo / width + 1e-7) AS first, ceil(hi / width - 1e-7) AS last FROM w),
+h AS (SELECT greatest(least(ceil(round(x / width, 6) - first) - 1, last - first - 1), 0) AS bin, first, width FROM v CROSS JOIN k)
+SELECT bin::INTEGER AS bin, round((bin + first) * width, 9) AS low, round((bin + first + 1) * width, 9) AS high, count(*) AS n FROM h GROUP BY bin, first, width"""
 
 
 def _bucket_sql(column: str, most: int) -> str:
     return f"WITH {_P}, b AS (SELECT CASE WHEN {column} <= {most} THEN {column}::VARCHAR ELSE '{most + 1}+' END AS bucket, count(*) AS n FROM p GROUP BY 1), v AS (SELECT CASE WHEN k <= {most} THEN k::VARCHAR ELSE '{most + 1}+' END AS bucket FROM range(1, {most + 2}) t(k)) SELECT v.bucket, coalesce(n, 0) AS n FROM v LEFT JOIN b ON b.bucket = v.bucket"
 
 
-for _name, _where, _key in (
-    ("weight_histogram", "true", "weights"),
-    ("weight_histogram_documents", "documents BETWEEN 2 AND 30", "weights_of_2_to_30_documents"),
-    ("weight_histogram_sentences", "sentences >= 2", "weights_of_2_sentences"),
-):
-    query(_name, _hist_sql(_where))(lambda spark, d, key=_key: lifecycle.statistics(_edges(spark, d))[key])
+for _name, _where, _least, _most in (("weight_histogram", "true", None, None), ("weight_histogram_documents", "documents BETWEEN 2 AND 30", 2, 30), ("weight_histogram_sentences", "sentences >= 2", 2, None)):
+
+    def _histogram(spark, d, column="documents" if _most else "sentences", least=_least, most=_most):
+        edges = graph._table(_edges(spark, d), "edges")
+        return report.sturges_histogram(edges if least is None else report.between(edges, column, least, most), "npmi")
+
+    query(_name, _hist_sql(_where))(_histogram)
 for _name, _column, _most in (("document_buckets", "documents", 5), ("sentence_buckets", "sentences", 7)):
-    query(_name, _bucket_sql(_column, _most))(lambda spark, d, key=_column: lifecycle.statistics(_edges(spark, d))[key])
+    query(_name, _bucket_sql(_column, _most))(lambda spark, d, column=_column, most=_most: report.bucket_table(_edges(spark, d), column, most))
 
 
 @query("range_filter", f"WITH {_E} SELECT a, b, documents FROM d WHERE documents BETWEEN 2 AND 30")
@@ -506,6 +517,81 @@ def _(spark, d):
     return spans.expand_coreferences(annotated.parse_documents(_files(spark)), _chains(spark))
 
 
+# a corpus written from the conversations: each turn's first eight words of letters, the first of them an entity
+_TURNS = "t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 8) AS w FROM conversations), s AS (SELECT conv_id, 'C' || conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS sent, w FROM t WHERE len(w) > 1)"
+
+
+def _turns(spark, d):
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 8)
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", words.alias("w")).where("size(w) > 1")
+
+
+def _corpus(spark, d):
+    """One annotated file a conversation."""
+    line = F.concat(F.lit(f'<ENAMEX TYPE="{annotated.CORPORATION}">'), F.col("w")[0], F.lit("</ENAMEX> "), F.array_join(F.expr("slice(w, 2, 8)"), " "), F.lit("\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "")
+    name = F.concat(F.lit("C"), F.col("conv_id").cast("string"))
+    return _turns(spark, d).groupBy("conv_id").agg(lines.alias("lines")).select(F.concat(name, F.lit(".txt")).alias("path"), F.concat(F.lit("<ROOT><DOC><DOCNO> "), name, F.lit(" </DOCNO>\n"), F.col("lines"), F.lit("</DOC></ROOT>\n")).alias("content"))
+
+
+def _corpus_chains(spark, d):
+    """One coreference file a conversation: the second word of the last sentence stands for the first sentence's entity."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("w")[0].alias("one"), F.col("w")[1].alias("two"))))
+    n = F.size("turns")
+    text = F.concat(F.lit("(\nC"), F.col("conv_id").cast("string"), F.lit("\n( Antecedent -> S1:1-1 -> "), F.col("turns")[0]["one"], F.lit("\nPronoun -> S"), n.cast("string"), F.lit(":2-2 -> "), F.element_at("turns", -1)["two"], F.lit(" ))\n"))
+    return _turns(spark, d).groupBy("conv_id").agg(turns.alias("turns")).select(F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit(".pron")).alias("path"), text.alias("content"))
+
+
+@query("corpus_scan", f"WITH {_TURNS}, f AS (SELECT doc || '.txt' AS name, (length('<ROOT><DOC><DOCNO> ' || doc || ' </DOCNO>' || chr(10) || '</DOC></ROOT>' || chr(10)) + sum(length('<ENAMEX TYPE=\"ORGANIZATION:CORPORATION\"></ENAMEX>' || array_to_string(w, ' ')) + 1))::INTEGER AS size FROM s GROUP BY doc) SELECT * FROM f")
+def _(spark, d):
+    folder = graph._folder(spark, "corpus")
+    for part in (_corpus(spark, d), _corpus_chains(spark, d)):
+        # the writer ends the last line itself
+        part.withColumn("content", F.regexp_replace("content", r"\n$", "")).write.mode("append").partitionBy("path").text(folder)
+    found = annotated.scan_files(spark, f"{folder}/path=*txt")
+    return found.select(F.regexp_extract("path", r"path=([^/]+)/", 1).alias("name"), F.length("content").alias("size"))
+
+
+@query("corpus_sentences", f"WITH {_TURNS} SELECT doc, sent, array_to_string(w, ' ') AS sentence, w[1] AS entity FROM s")
+def _(spark, d):
+    docs = annotated.parse_documents(sanitize.repair_markup(_corpus(spark, d)))
+    entity = F.filter("entities", lambda e: (e["sentence"] == F.col("sent")) & (e["type"] == annotated.CORPORATION))[0]
+    sentences = docs.select("doc", "entities", F.posexplode("sentences").alias("sent", "tokens"))
+    return sentences.select("doc", "sent", F.array_join("tokens", " ").alias("sentence"), F.array_join(F.slice("tokens", entity["start"] + 1, entity["stop"] - entity["start"]), " ").alias("entity"))
+
+
+@query("corpus_chains", f"WITH {_TURNS}, l AS (SELECT conv_id, max(sent) AS last FROM s GROUP BY conv_id) SELECT doc, 0 AS chain, 'Antecedent' AS role, 0 AS sentence, 0 AS start, 1 AS stop, w[1] AS val FROM s WHERE sent = 0 UNION ALL SELECT doc, 0, 'Pronoun', sent, 1, 2, w[2] FROM s JOIN l USING (conv_id) WHERE sent = last")
+def _(spark, d):
+    return annotated.read_chains(_corpus_chains(spark, d)).select("doc", "chain", "role", "span.*", "val")
+
+
+@query("corpus_occurrences", f"WITH {_TURNS}, l AS (SELECT conv_id, max(sent) AS last FROM s GROUP BY conv_id) SELECT doc, sent, w[1] AS surface FROM s UNION ALL SELECT doc, last, w[1] FROM s JOIN l USING (conv_id) WHERE sent = 0")
+def _(spark, d):
+    found = spans.expand_coreferences(annotated.parse_documents(_corpus(spark, d)), annotated.read_chains(_corpus_chains(spark, d)))
+    return found.select("doc", "sent", "surface")
+
+
+# markup with one problem of each class, written from the parts' names
+_DEFECTS = "b AS (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN '<ROOT>' || p_name || '</ROOT>' WHEN 1 THEN '<DOC>' || p_name || '</DOC><DOC>x</DOC>' WHEN 2 THEN '<ROOT>' || p_name || ' & co</ROOT>' WHEN 3 THEN '<ROOT><A>' || p_name || '</B></ROOT>' ELSE '<ROOT>' || p_name || '</ROOT' END || chr(10) AS content, CASE p_partkey % 5 WHEN 1 THEN 'FRAGMENTS' WHEN 2 THEN 'AND' WHEN 3 THEN 'TAG_MISMATCH' WHEN 4 THEN 'CUT_OFF' END AS type FROM part)"
+
+
+def _defects(spark, d):
+    name = F.col("p_name")
+    forms = [("<ROOT>", "</ROOT>"), ("<DOC>", "</DOC><DOC>x</DOC>"), ("<ROOT>", " & co</ROOT>"), ("<ROOT><A>", "</B></ROOT>"), ("<ROOT>", "</ROOT")]
+    content = F.coalesce(*[F.when(F.col("p_partkey") % 5 == k, F.concat(F.lit(a), name, F.lit(b + "\n"))) for k, (a, b) in enumerate(forms)])
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+
+
+@query("markup_problems", f"WITH {_DEFECTS} SELECT p_partkey::VARCHAR AS path, coalesce(type, '') AS type, CASE WHEN type IS NULL THEN 0 ELSE 1 END::INTEGER AS line, coalesce(CASE type WHEN 'FRAGMENTS' THEN 11 WHEN 'AND' THEN 8 WHEN 'TAG_MISMATCH' THEN 11 WHEN 'CUT_OFF' THEN 6 END::INTEGER + length(p_name)::INTEGER, 0)::INTEGER AS col FROM b")
+def _(spark, d):
+    return sanitize.classify(_defects(spark, d)).select("path", *[F.coalesce(c, F.lit(none)).alias(c) for c, none in (("type", ""), ("line", 0), ("col", 0))])
+
+
+@query("markup_repairs", f"WITH {_DEFECTS} SELECT p_partkey::VARCHAR AS path, CASE type WHEN 'FRAGMENTS' THEN '<ROOT>' || content || '</ROOT>' || chr(10) WHEN 'AND' THEN replace(content, '&', '&amp;') WHEN 'TAG_MISMATCH' THEN replace(content, '</B>', '</A>') WHEN 'CUT_OFF' THEN replace(content, '</ROOT', '</ROOT>') ELSE content END AS content, 'clean' AS status, coalesce(type, '') AS repairs FROM b")
+def _(spark, d):
+    return sanitize.repair_markup(_defects(spark, d)).withColumn("repairs", F.array_join("repairs", " "))
+
+
 # names ----------------------------------------------------------------------
 @query("alias_predicate")
 def _(spark, d):
@@ -534,6 +620,35 @@ def _(spark, d):
     return _pairs(spark).select("short", "full", fit("short", "full").alias("role"))
 
 
+# two-word names of parts, in capitals, and what may be said for them
+_VARIANTS = "w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), n AS (SELECT p_partkey, upper(w[1][1]) || w[1][2:] AS one, upper(w[2][1]) || w[2][2:] AS two FROM w), v AS (SELECT p_partkey, one || ' ' || two AS name, one, two, unnest(['The ' || one || ' ' || two || ' Inc.', one, two, one[1] || two[1], 'Zzyzx']) AS variant, unnest(range(5)) AS kind FROM n)"
+
+
+def _variants(spark, d):
+    words = F.split(F.initcap("p_name"), " ")
+    v = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.initcap("p_name").alias("name"), words[0].alias("one"), words[1].alias("two"))
+    forms = F.array(F.concat(F.lit("The "), "name", F.lit(" Inc.")), F.col("one"), F.col("two"), F.concat(F.substring("one", 1, 1), F.substring("two", 1, 1)), F.lit("Zzyzx"))
+    return v.select("p_partkey", "name", F.posexplode(forms).alias("kind", "variant"))
+
+
+@query("part_aliases", f"WITH {_VARIANTS} SELECT p_partkey, kind::INTEGER AS kind, kind < 4 AS alias, CASE WHEN kind = 0 THEN variant ELSE name END AS key, CASE WHEN kind = 2 AND one <> two THEN 1 ELSE 0 END::INTEGER AS front, CASE WHEN kind = 1 OR (kind = 2 AND one = two) THEN 1 ELSE 0 END::INTEGER AS back FROM v")
+def _(spark, d):
+    def fit(frames):
+        for f in frames:
+            made = [resolve.Entity(x) for x in f["name"]]
+            fits = [resolve.alias_step(e, x) for e, x in zip(made, f["variant"], strict=True)]
+            yield f[["p_partkey", "kind"]].assign(alias=fits, key=[e.key for e in made], front=[e.front for e in made], back=[e.back for e in made])
+
+    return _variants(spark, d).mapInPandas(fit, "p_partkey long, kind int, alias boolean, key string, front int, back int")
+
+
+@query("part_acronyms", f"WITH {_VARIANTS} SELECT p_partkey, CASE kind WHEN 3 THEN 0 ELSE -1 END::INTEGER AS left_over, CASE kind WHEN 3 THEN 1 ELSE 0 END::INTEGER AS role FROM v WHERE kind >= 3")
+def _(spark, d):
+    left = F.pandas_udf(lambda a, b: a.combine(b, resolve.abbreviates), "int")
+    role = F.pandas_udf(lambda a, b: a.combine(b, resolve.abbreviation), "int")
+    return _variants(spark, d).where("kind >= 3").select("p_partkey", left("variant", "name").alias("left_over"), role("name", "variant").alias("role"))
+
+
 def _surfaces(spark, d):
     """All names of _names(), in an order of appearance: those of the fixtures, of customers, of parts, each by its key."""
     own = spark.createDataFrame([(x, 0, k) for k, x in enumerate(fixtures.NAMES)], "surface string, source int, key long")
@@ -553,7 +668,7 @@ def _(spark, d):
 
 
 # files ----------------------------------------------------------------------
-@query("network_file", f"WITH {_S} SELECT a::VARCHAR AS a, b::VARCHAR AS b, round(d.npmi, 9) AS npmi, d.sentences, d.documents FROM d JOIN g USING (a, b)")
+@query("network_file", f"WITH {_E} SELECT a::VARCHAR AS a, b::VARCHAR AS b, round(npmi, 9) AS npmi, sentences, documents FROM d WHERE sentences >= 2 AND npmi::FLOAT >= 0.5::FLOAT")
 def _(spark, d):
     edges = _strong(spark, d).withColumn("npmi", F.round("npmi", 9))
     return networks.read_network(spark, networks.write_network(edges, graph._folder(spark, "network")))

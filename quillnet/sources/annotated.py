@@ -165,38 +165,52 @@ CHAINS = "doc string, chain int, role string, range string, val string, error st
 _ENTRY = re.compile(r"\s*(Antecedent|Pronoun)\s*->\s*(\S+)\s*->\s?(.*?)\s*$")
 
 
+_PART = re.compile(r"\s*([()])|\s*([^()\n]*[^()\s][^()\n]*)|\s*\Z")
+_REST = re.compile(r"\s*([^\n]*)")
+
+
 def parse_chains(content: str) -> Iterator[tuple]:
-    """(doc, chain, role, range, value) of a coreference file: one entry a line, parentheses for documents and chains."""
-    depth, doc, chain, named = 0, "", -1, False
-    for number, line in enumerate(content.splitlines(), 1):
-        bare = line.strip()
-        if not bare:
+    """(doc, chain, role, range, value) of a coreference file: parentheses around documents and chains, wherever they stand; an entry ends with its line.
+
+    Parentheses that an entry's text does not open close what is around it.
+    """
+    at, depth, doc, chain = 0, 0, "", -1
+    while at < len(content):
+        m = _REST.match(content, at) if depth == 2 and not re.match(r"\s*[()]", content[at : at + 4096]) else None
+        if m is None:
+            m = _PART.match(content, at)
+            sign = m[1]
+            at = m.end()
+            if sign == "(":
+                depth += 1
+                doc, chain = ("", -1) if depth == 1 else (doc, chain + 1)
+                if depth > 2:
+                    raise ValueError(f"offset {at}: too deep")
+            elif sign == ")":
+                depth -= 1
+                if depth < 0:
+                    raise ValueError(f"offset {at}: nothing to close")
+                if depth == 0 and chain < 0:
+                    yield doc, None, None, None, None  # a document without chains is kept
+            elif m[2] and depth == 1 and not doc:
+                doc = m[2].strip()
+            elif m[2]:
+                raise ValueError(f"offset {at}: stray text")
             continue
-        if bare == "(":
-            depth += 1
-            if depth == 1:
-                doc, chain, named = "", -1, False
-            elif depth == 2:
-                chain += 1
-            else:
-                raise ValueError(f"line {number}: too deep")
-        elif bare == ")":
+        entry, at = m[1].rstrip(), m.end()
+        spare = max(entry.count(")") - entry.count("("), 0)
+        while spare and entry.endswith(")"):
+            entry, spare, at = entry[:-1].rstrip(), spare - 1, at
             depth -= 1
-            if depth < 0:
-                raise ValueError(f"line {number}: nothing to close")
-            if depth == 0 and chain < 0:
-                yield doc, None, None, None, None  # a document without chains is kept
-        elif depth == 1 and not named:
-            doc, named = bare, True
-        elif depth == 2:
-            close = bare.endswith(")") and bare.count(")") > bare.count("(")
-            m = _ENTRY.match(bare[:-1] if close else bare)
-            if not m:
-                raise ValueError(f"line {number}: no entry")
-            yield doc, chain, m[1], m[2], m[3]
-            depth -= close
-        else:
-            raise ValueError(f"line {number}: stray text")
+        if not entry:
+            continue
+        if not (found := _ENTRY.match(entry)):
+            raise ValueError(f"offset {at}: no entry")
+        if depth < 0:
+            raise ValueError(f"offset {at}: nothing to close")
+        yield doc, chain, found[1], found[2], found[3]
+    if depth:
+        raise ValueError("a parenthesis is not closed")
 
 
 def read_chains(files: DataFrame) -> DataFrame:

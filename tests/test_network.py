@@ -160,11 +160,44 @@ def test_components_of_a_long_path(spark):
 
 
 def test_statistics(spark):
-    tables = {k: {r[0]: r[1] for r in v.collect()} for k, v in lifecycle.statistics(edges_of(spark)).items()}
+    tables = {k: {r[0]: r["n"] for r in v.collect()} for k, v in lifecycle.statistics(edges_of(spark)).items()}
     assert tables["documents"]["1"] == 3 and tables["documents"]["2"] == 1 and tables["documents"]["6+"] == 0
     assert sum(tables["weights"].values()) == 4
-    b = report.sturges_breaks(100, 0.0, 1.0)
-    assert b[0] == 0 and math.isclose(b[-1], 1.0) and 5 <= len(b) - 1 <= 11
+    # hand-made: the weights 0.18, 0.18, 0.68 and 1 in ceil(log2(4) + 1) = 3 cells, so of width 0.2
+    assert [tuple(r) for r in lifecycle.statistics(edges_of(spark))["weights"].orderBy("bin").collect()] == [(0, 0.0, 0.2, 2), (3, 0.6, 0.8, 1), (4, 0.8, 1.0, 1)]
+    for args, want in (((100, 0.0, 1.0), (0.1, 0, 10)), ((100, -0.31, 0.99), (0.2, -2, 5)), ((1000, 3.0, 90.0), (10.0, 0, 9)), ((1, 5.0, 5.0), (1.0, 5, 5))):
+        got = report.sturges_breaks(*args)
+        assert math.isclose(got[0], want[0]) and got[1:] == want[1:]
+
+
+def test_coreference_files_need_no_lines_of_their_own_for_parentheses():
+    text = "( D1 ( Antecedent -> S1:1-2 -> Acme (US)\nPronoun -> S2:1-1 -> It )\n( Antecedent -> S1:1-1 -> Bolt\n\n) )(\nD 2\n)\n(D3(Pronoun -> S1:1-1 -> He))"
+    assert list(annotated.parse_chains(text)) == [
+        ("D1", 0, "Antecedent", "S1:1-2", "Acme (US)"), ("D1", 0, "Pronoun", "S2:1-1", "It"), ("D1", 1, "Antecedent", "S1:1-1", "Bolt"),
+        ("D 2", None, None, None, None), ("D3", 0, "Pronoun", "S1:1-1", "He"),
+    ]
+    for bad in ("(D1", ")", "( D1 ( ( x", "( D1 ( no entry\n) )", "x"):
+        with pytest.raises(ValueError):
+            list(annotated.parse_chains(bad))
+
+
+def test_louvain_gains_modularity_over_components(spark):
+    """Two cliques with a bridge, and a ring of cliques: the communities are the cliques, and their modularity beats that of one community a component."""
+    pairs = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(5) for j in range(i)] + [(10 * c, 10 * ((c + 1) % 6) + 1) for c in range(6)]
+    edges = spark.createDataFrame([(min(p), max(p), 1.0) for p in pairs], "a long, b long, weight double")
+    nodes = graph.drop_small(graph.connected_components(edges))
+    got = graph.louvain(nodes, edges, 1.0)
+    member = {r["id"]: r["community"] for r in got.collect()}
+    assert {v: 10 * (v // 10) for v in member} == member and report.community_count(got).first()[0] == 6
+
+    def modularity(of):
+        degree = {}
+        for a, b in pairs:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        inside = sum(of[a] == of[b] for a, b in pairs) / len(pairs)
+        return inside - sum((sum(d for v, d in degree.items() if of[v] == c) / (2 * len(pairs))) ** 2 for c in set(of.values()))
+
+    assert modularity(member) > modularity(dict.fromkeys(member, 0)) + 0.5
 
 
 def test_files_and_cache(spark, tmp_path):
