@@ -27,11 +27,31 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{there or _local_folder()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the intermediate tables written so far, by session.
+_WRITTEN: dict[str, list[str]] = {}
+#: Bytes of a row group of intermediate tables: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def _table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder."""
-    path = _folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = _folder(spark, name)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete this session's intermediate tables, but those that ``but`` reads; frames that read others end here."""
+    kept = [] if but is None else [f.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for f in but.inputFiles()]
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path.split(":")[-1].lstrip("/") in kept:
+            _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def weighted(edges: DataFrame) -> DataFrame:

@@ -14,14 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ESCAPES
 from ..operators import sanitize
 
 CORPORATION = "ORGANIZATION:CORPORATION"
 DOCS = "path string, doc string, sentences array<array<string>>, entities array<struct<type:string,sentence:int,start:int,stop:int>>, error string"
 _NAME = re.compile(r"<DOCNO>([^<]*)</DOCNO>")
 _SENTENCE = re.compile(r"\r?\n\s*")
-# Escapes of tokens, in the order in which they are resolved.
-_ESCAPES = (("\\*", "*"), ("\\/", "/"), ("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-LCB-", "{"), ("-RCB-", "}"), ("``", '"'), ("''", '"'), ("`", "'"))
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +42,7 @@ class _Document:
         parts = []
         for line in _SENTENCE.split(chunk):
             tokens = line.split(" ")
-            for old, new in _ESCAPES:
+            for old, new in ESCAPES:
                 tokens = [t.replace(old, new) for t in tokens]
             parts.append(tokens)
         if self.sentences:  # the last token goes on

@@ -215,3 +215,27 @@ def test_missing_alias_is_an_error(spark):
     m = spark.createDataFrame([("d", 0, "x")], "doc string, sent int, ent string")
     with pytest.raises(Exception, match="Missing aliases"):
         mentions.resolve_keys(m, spark.createDataFrame([], "key string, aliases array<string>")).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillnet.__main__ import main
+
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    (corpus / "a.txt").write_text(fixtures.MARKUP)
+    (corpus / "a.pron").write_text(fixtures.CHAINS)
+    (corpus / "b.txt").write_text("<ROOT><DOC><DOCNO> D9 </DOCNO>no line end</DOC></ROOT>")
+    assert main(["network", str(corpus), str(tmp_path / "out")], spark) == 1 and "D9" in capsys.readouterr().err
+    edges = networks.read_network(spark, str(tmp_path / "out/network"))
+    assert edges.count() >= 3
+    assert main(["clusters", str(tmp_path / "out/network"), str(tmp_path / "out")], spark) == 0
+    assert main(["statistics", str(tmp_path / "out/network")], spark) == 0
+    assert "# documents\nbucket,n\n1," in capsys.readouterr().out
+
+
+def test_tables_are_dropped(spark):
+    one, two = graph._table(spark.range(3), "one"), graph._table(spark.range(4), "two")
+    graph.drop_tables(spark, two)
+    assert two.count() == 4
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        one.count()
