@@ -42,16 +42,20 @@ def _table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Delete this session's intermediate tables, but those that ``but`` reads; frames that read others end here."""
-    kept = [] if but is None else [f.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for f in but.inputFiles()]
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        if path.split(":")[-1].lstrip("/") in kept:
-            _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-            continue
+def written(spark: SparkSession) -> int:
+    """How many intermediate tables this session has written and not dropped."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, but: DataFrame | None = None, since: int = 0) -> None:
+    """Delete this session's intermediate tables from place ``since`` on, but those that ``but`` reads; frames that read others end here."""
+    bare = lambda path: path.split(":")[-1].lstrip("/")
+    used = set() if but is None else {bare(f.rsplit("/", 1)[0]) for f in but.inputFiles()}
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in paths[since:] if bare(p) not in used]:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        paths.remove(path)
 
 
 def weighted(edges: DataFrame) -> DataFrame:

@@ -234,8 +234,9 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_tables_are_dropped(spark):
+    zero, since = graph._table(spark.range(2), "zero"), graph.written(spark)
     one, two = graph._table(spark.range(3), "one"), graph._table(spark.range(4), "two")
-    graph.drop_tables(spark, two)
-    assert two.count() == 4
+    graph.drop_tables(spark, two, since)
+    assert two.count() == 4 and zero.count() == 2 and graph.written(spark) == since + 1
     with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
         one.count()
