@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillnet.llm import jaccard_join, langid, packing, pii, suffix_dedup
 from quillnet.llm.common import materialise
+from quillnet.operators.graph import drop_tables, written
 
 #: Documents whose language is less sure than this are rejected.
 LEAST_SCORE = 0.35
@@ -102,7 +103,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the tables that a stage wrote on its way go once its rows are written."""
+    since = written(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, docs, since)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..operators.graph import _table
+
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
-#: Bytes of a row group of intermediate tables.
-ROW_GROUP = 16 << 20
 #: Bytes of a batch on its way to a Python worker; Spark itself counts rows only, whatever their length.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
@@ -30,20 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="quillnet-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in this process."""
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there
-    if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "local")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local_folder()
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the batches that go to Python workers by bytes, where the session does not bound them (the setting stays, as plans run later)."""
     if not spark.conf.get(BATCH_SETTING, None):
@@ -51,12 +34,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    # small row groups: a writer holds one in memory
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the folder that all executors share and read it back, which cuts its lineage."""
+    return _table(df, name)
 
 
 def others(df: DataFrame, *names: str) -> list[str]:
