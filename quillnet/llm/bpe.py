@@ -29,8 +29,8 @@ from .common import held, map_slices, texts_as_bytes
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space before white space of any kind, or at the end: such texts are split as a whole.
 _RUNS = re.compile(rb" (?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|\Z)")
-#: Entries of a worker's caches before they are emptied.
-CACHE = 600_000
+#: Entries of each of a worker's caches; the older half goes when the newer is full.
+CACHE = 1_000_000
 _LONG = 48
 _NONE = 1 << 60
 
@@ -48,6 +48,23 @@ def byte_letters() -> list[str]:
     return letters
 
 
+class Aging:
+    """A table of entries met lately, and of those met before them."""
+
+    def __init__(self) -> None:
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def lacking(self, keys: set) -> list:
+        """Keys without an entry; the others are met now.  Called first, as it may let old entries go."""
+        if len(self.now) > CACHE // 2:
+            self.before, self.now = self.now, {}
+        unknown = keys - self.now.keys()
+        again = unknown & self.before.keys()
+        self.now.update((k, self.before[k]) for k in again)
+        return list(unknown - again)
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file, with bounded caches."""
 
@@ -81,8 +98,7 @@ class ByteBpe:
             self.tables[n] = (h[order], np.array([vocab[of[k]] for k in order], np.int64))
         self.pairs = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.words, self.chunks = Aging(), Aging()
 
     def _hash(self, rows: np.ndarray) -> np.ndarray:
         h = np.zeros(len(rows), np.uint64)
@@ -197,15 +213,13 @@ class ByteBpe:
 
     # texts
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = self.words.lacking(words)
         raw = [w.encode() for w in new]
         for w, ids in zip(new, self.encode_words(raw), strict=True):
-            self.words[w] = array("I", ids).tobytes()
+            self.words.now[w] = array("I", ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.words) > CACHE or len(self.chunks) > CACHE:
-            self.words, self.chunks = {}, {}
         parts: list[list] = []
         chunks: set[bytes] = set()
         whole: set[str] = set()
@@ -219,35 +233,28 @@ class ByteBpe:
                     whole.update(found)
                     row.append(found)
                 elif piece:
-                    # a chunk after a single space does not depend on what stands before it
+                    # a chunk after a single space does not depend on what stands before it; the first one has no space
                     first, *rest = piece.split(b" ")
+                    if b" ^" in piece:
+                        rest = [b" " + c if c[:1] == b"^" else c for c in rest]
                     found = [b"^" + first, *rest]
                     chunks.update(found)
                     row.append(found)
             parts.append(row)
-        fresh = [c for c in chunks if c not in self.chunks]
-        split = [SPLIT.findall(c[1:].decode() if c[:1] == b"^" else " " + c.decode()) for c in fresh]
-        again = [SPLIT.findall(" " + c.decode()) if c[:1] == b"^" else None for c in fresh]
-        for s in (*split, *(x for x in again if x)):
-            whole.update(s)
-        self._learn(whole)
-        words = self.words
-        for c, s, other in zip(fresh, split, again, strict=True):
-            self.chunks[c] = b"".join([words[w] for w in s])
-            if other:
-                self.chunks[b" " + c] = b"".join([words[w] for w in other])
-        table = self.chunks
+        fresh = self.chunks.lacking(chunks)
+        split = [SPLIT.findall((c[1:] if c[:1] == b"^" else c if c[:1] == b" " else b" " + c).decode()) for c in fresh]
+        self._learn(whole.union(*split))
+        words, table = self.words.now, self.chunks.now
+        for c, s in zip(fresh, split, strict=True):
+            table[c] = b"".join([words[w] for w in s])
         out = []
         for row in parts:
             got = []
             for piece in row:
                 if isinstance(piece, bytes):
                     got.append(piece)
-                elif piece and isinstance(piece[0], str):
-                    got += [words[w] for w in piece]
                 else:
-                    got.append(table[piece[0]])
-                    got += [table[c if c[:1] != b"^" else b" " + c] for c in piece[1:]]
+                    got += map((words if isinstance(piece[0], str) else table).__getitem__, piece)
             out.append(b"".join(got))
         return out
 
