@@ -267,7 +267,7 @@ def _bucket_sql(column: str, most: int) -> str:
 for _name, _where, _least, _most in (("weight_histogram", "true", None, None), ("weight_histogram_documents", "documents BETWEEN 2 AND 30", 2, 30), ("weight_histogram_sentences", "sentences >= 2", 2, None)):
 
     def _histogram(spark, d, column="documents" if _most else "sentences", least=_least, most=_most):
-        edges = graph._table(_edges(spark, d), "edges")
+        edges = graph._table(_edges(spark, d).select("npmi", "documents", "sentences"), "edges")
         return report.sturges_histogram(edges if least is None else report.between(edges, column, least, most), "npmi")
 
     query(_name, _hist_sql(_where))(_histogram)
