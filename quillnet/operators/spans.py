@@ -39,10 +39,10 @@ def span_tokens(spans: DataFrame, sentences: DataFrame) -> DataFrame:
     return absolute_spans(spans, sentences).join(flat, "doc").withColumn("tokens", got).drop("_flat")
 
 
-def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of spans (doc, id, from, to) of one document that share a token: doc, left_id, right_id."""
-    a, b = left.select("doc", F.col("id").alias("left_id"), F.col("from").alias("_lf"), F.col("to").alias("_lt")), right.select("doc", F.col("id").alias("right_id"), F.col("from").alias("_rf"), F.col("to").alias("_rt"))
-    return a.join(b, "doc").where("_lf < _rt and _rf < _lt").select("doc", "left_id", "right_id")
+def overlap_join(left: DataFrame, right: DataFrame, *carried: str) -> DataFrame:
+    """Pairs of spans (doc, id, from, to) of one document that share a token: doc, left_id, right_id and the columns carried from the left."""
+    a, b = left.select("doc", F.col("id").alias("left_id"), F.col("from").alias("_lf"), F.col("to").alias("_lt"), *carried), right.select("doc", F.col("id").alias("right_id"), F.col("from").alias("_rf"), F.col("to").alias("_rt"))
+    return a.join(b, "doc").where("_lf < _rt and _rf < _lt").select("doc", "left_id", "right_id", *carried)
 
 
 def valid_entries(entries: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -51,8 +51,11 @@ def valid_entries(entries: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def expand(antecedents: DataFrame, entities: DataFrame, pronouns: DataFrame) -> DataFrame:
-    """One step of expansion: for entries (doc, chain, id, from, to) an entity at every pronoun of a chain whose antecedent it overlaps."""
-    met = overlap_join(antecedents, entities).join(antecedents.select("doc", "chain", F.col("id").alias("left_id")), ["doc", "left_id"])
+    """One step of expansion: for entries (doc, chain, id, from, to) an entity at every pronoun of a chain whose antecedent it overlaps.
+
+    The chain goes with its antecedent through the join, as ids may repeat in a document.
+    """
+    met = overlap_join(antecedents, entities, "chain")
     return met.join(pronouns.select("doc", "chain", F.col("id").alias("pronoun_id")), ["doc", "chain"]).select("doc", "chain", "right_id", "pronoun_id")
 
 

@@ -240,3 +240,12 @@ def test_tables_are_dropped(spark):
     assert two.count() == 4 and zero.count() == 2 and graph.written(spark) == since + 1
     with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
         one.count()
+
+
+def test_expansion_keeps_chains_apart_where_ids_repeat(spark):
+    # two antecedents with one id; only that of chain 0 meets the entity
+    columns = "doc long, chain long, id long, from int, to int"
+    antecedents = spark.createDataFrame([(1, 0, 61, 0, 2), (1, 1, 61, 9, 11)], columns)
+    entities = spark.createDataFrame([(1, None, 7, 1, 3)], columns)
+    pronouns = spark.createDataFrame([(1, 0, 20, 5, 6), (1, 1, 30, 12, 13)], columns)
+    assert [tuple(r) for r in spans.expand(antecedents, entities, pronouns).collect()] == [(1, 0, 7, 20)]
