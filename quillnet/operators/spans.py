@@ -50,6 +50,12 @@ def valid_entries(entries: DataFrame, sentences: DataFrame) -> DataFrame:
     return span_tokens(entries, sentences).where(F.col("val") == F.array_join("tokens", " "))
 
 
+def at_spans(entries: DataFrame, spans: DataFrame) -> DataFrame:
+    """Entries once for each span (doc, sent, start, stop) recorded at just their range."""
+    place = ["doc", "sent", "start", "stop"]
+    return entries.join(spans.select(place), place)
+
+
 def expand(antecedents: DataFrame, entities: DataFrame, pronouns: DataFrame) -> DataFrame:
     """One step of expansion: for entries (doc, chain, id, from, to) an entity at every pronoun of a chain whose antecedent it overlaps.
 

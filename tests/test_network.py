@@ -3,12 +3,14 @@
 import math
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 
 from quillnet.operators import cooccur, graph, mentions, report, resolve, sanitize, spans
 from quillnet.plans import fixtures, lifecycle, queries
 from quillnet.sources import annotated, networks
+from tests.compare import rows
 
 HAND = [("doc1", 0, e) for e in "AB"] + [("doc1", 1, e) for e in "ABC"] + [("doc1", 2, "D")] + [("doc2", 0, e) for e in "AB"] + [("doc2", 1, e) for e in "CD"] + [("doc2", 1, "D")]
 
@@ -249,3 +251,14 @@ def test_expansion_keeps_chains_apart_where_ids_repeat(spark):
     entities = spark.createDataFrame([(1, None, 7, 1, 3)], columns)
     pronouns = spark.createDataFrame([(1, 0, 20, 5, 6), (1, 1, 30, 12, 13)], columns)
     assert [tuple(r) for r in spans.expand(antecedents, entities, pronouns).collect()] == [(1, 0, 7, 20)]
+
+
+def test_valid_entries_meet_every_span_at_their_range(spark, tmp_path):
+    # in a turn of three words the first and the last span are one range
+    turns = spark.createDataFrame([(1, 1, "user", "a b c"), (1, 2, "user", "d e f g h")], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["valid_entries"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 5
+    assert rows(got) == rows(con.sql(queries.SQL["valid_entries"]).df())
