@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -58,6 +59,27 @@ def drop_tables(spark: SparkSession, but: DataFrame | None = None, since: int =
         paths.remove(path)
 
 
+#: Bytes of input files behind one partition of a step that holds its rows in memory.
+PART_BYTES = 4 << 20
+
+
+def parts(*frames: DataFrame, times: int = 1) -> int:
+    """Partitions in proportion to the files that frames read, ``times`` as many where a row becomes several; 0 if the engine's own number does."""
+    sizes = {}
+    for df in frames:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in (leaves.apply(k) for k in range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                sizes[leaf.relation().location().rootPaths().mkString(",")] = int(str(leaf.stats().sizeInBytes()))
+    n = math.ceil(times * sum(sizes.values()) / PART_BYTES)
+    return n if n > frames[0].sparkSession.sparkContext.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys over ``parts``, so a task's memory does not grow with the input."""
+    return df.repartition(n, *keys) if n else df
+
+
 def weighted(edges: DataFrame) -> DataFrame:
     """Edges with the weight narrowed to single precision."""
     return edges.withColumn("weight", F.col("npmi").cast("float"))

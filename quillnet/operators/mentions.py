@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dealt, parts
+
 KEYS = ("doc", "sent", "ent")
 
 
@@ -26,6 +28,8 @@ def kept_documents(interesting_mentions: DataFrame) -> DataFrame:
 
 def resolve_keys(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Mentions joined to the alias table (key, aliases); an entity without aliases is an error."""
+    n = parts(mentions, aliases)
+    mentions, aliases = dealt(mentions, n, "ent"), dealt(aliases, n, "key")
     joined = mentions.join(aliases, mentions["ent"] == aliases["key"], "left")
     checked = F.when(F.col("key").isNull(), F.raise_error(F.concat(F.lit("Missing aliases: "), F.col("ent").cast("string")))).otherwise(F.col("key"))
     return joined.select("doc", "sent", checked.alias("ent"), F.size("aliases").alias("n_aliases"))

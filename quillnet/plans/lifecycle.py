@@ -55,10 +55,13 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that orders mention: month, order, part."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_trunc("month", "o_orderdate").alias("doc"))
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    n = graph.parts(items, o)
+    items, o = graph.dealt(items, n, "l_orderkey"), graph.dealt(o, n, "o_orderkey")
     return items.join(o, items["l_orderkey"] == o["o_orderkey"]).select("doc", F.col("l_orderkey").alias("sent"), F.col("l_partkey").alias("ent"))
 
 
 def line_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words that lines of documents mention: document, line, word."""
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("sent", "line"))
-    return lines.select("doc", F.col("sent").cast("long").alias("sent"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))).alias("ent"))
+    names = lines.select("doc", F.col("sent").cast("long").alias("sent"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))).alias("ent"))
+    return graph.dealt(names, graph.parts(names), "doc", "sent")
