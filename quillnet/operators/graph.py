@@ -6,6 +6,7 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -59,6 +60,8 @@ def drop_tables(spark: SparkSession, but: DataFrame | None = None, since: int =
         paths.remove(path)
 
 
+#: Rows that a task of communities gives out at once, or a component more.
+BATCH = 10_000
 #: Bytes of input files behind one partition of a step that holds its rows in memory.
 PART_BYTES = 4 << 20
 
@@ -173,7 +176,7 @@ def filtered_graph(edges: DataFrame, min_sentences: int = MIN_SENTENCES, min_wei
     return nodes, strong.join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
 
 
-def louvain_part(part: pd.DataFrame, total: float, resolution: float, use_weights: bool = True) -> dict:
+def louvain_part(part: pd.DataFrame | dict, total: float, resolution: float, use_weights: bool = True) -> dict:
     """Communities of one component, deterministic: nodes in order of id, ties to the least community."""
     graph: dict = {}
     for a, b, w in zip(part["a"], part["b"], part["weight"], strict=True):
@@ -218,19 +221,40 @@ def louvain_part(part: pd.DataFrame, total: float, resolution: float, use_weight
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = RESOLUTION, use_weights: bool = True) -> DataFrame:
     """id, component, community (its least member).
 
-    A community never spans components, so components are tasks of their own; the
-    graph's total weight is one number.
+    A community never spans components, so a task takes one component after another;
+    the graph's total weight is one number.
     """
     kind = nodes.schema["id"].dataType.simpleString()
     value = F.col("weight").cast("double") if use_weights else F.lit(1.0)
     total = 2 * (edges.agg(F.sum(value)).first()[0] or 1.0)
 
-    def part(df: pd.DataFrame) -> pd.DataFrame:
-        member = louvain_part(df, total, resolution, use_weights)
+    def part(held: dict, component) -> list[tuple]:
+        member = louvain_part(held, total, resolution, use_weights)
         least: dict = {}
         for v, c in member.items():
             least[c] = min(v, least.get(c, v))
-        return pd.DataFrame({"id": list(member), "component": df["component"].iloc[0], "community": [least[c] for c in member.values()]})
+        return [(v, component, least[c]) for v, c in member.items()]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, last = {"a": [], "b": [], "weight": []}, [], None
+        for f in frames:
+            for component, a, b, weight in zip(*[f[c].tolist() for c in ("component", "a", "b", "weight")], strict=True):
+                if held["a"] and component != last:
+                    rows += part(held, last)
+                    held = {"a": [], "b": [], "weight": []}
+                    if len(rows) >= BATCH:
+                        yield pd.DataFrame(rows, columns=["id", "component", "community"])
+                        rows = []
+                for c, x in (("a", a), ("b", b), ("weight", weight)):
+                    held[c].append(x)
+                last = component
+        if held["a"]:
+            rows += part(held, last)
+        if rows:
+            yield pd.DataFrame(rows, columns=["id", "component", "community"])
 
     owned = edges.join(nodes.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", F.col("weight").cast("double").alias("weight"))
-    return owned.groupBy("component").applyInPandas(part, f"id {kind}, component {kind}, community {kind}")
+    # few bytes, much work: the engine must not put them into few tasks
+    n = max(parts(edges, nodes), edges.sparkSession.sparkContext.defaultParallelism)
+    owned = owned.repartition(n, "component").sortWithinPartitions("component", "a", "b")
+    return owned.mapInPandas(run, f"id {kind}, component {kind}, community {kind}")

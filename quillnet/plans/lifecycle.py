@@ -28,7 +28,7 @@ def build_network(mention_table: DataFrame) -> DataFrame:
 def build_clusters(edges: DataFrame, resolution: float = graph.RESOLUTION) -> DataFrame:
     """Labelled, ranked members of the communities of the filtered graph."""
     nodes, strong = graph.filtered_graph(edges)
-    member = graph.louvain(nodes, strong, resolution)
+    member = graph._table(graph.louvain(nodes, strong, resolution), "members")
     sized = graph.scale_size(graph.weighted_degree(strong))
     # communities are numbered within ranges of their ids plus the count of all ranges before
     named = graph._table(member.select("community").distinct().repartitionByRange("community").withColumn("part", F.spark_partition_id()), "communities")

@@ -306,3 +306,12 @@ def test_folds_of_parted_names_equal_one_fold(spark, monkeypatch):
     got = resolve.resolve_surfaces(seen)
     assert rows(got.toPandas()) == rows(want)
     assert len(set(want.entity_id)) < len(want) - 20
+
+
+def test_communities_use_all_tasks_and_are_found_once(spark):
+    made = spark.createDataFrame([(10 * k + a, 10 * k + b, 0.9, 3, 1) for k in range(40) for a, b in ((0, 1), (0, 2), (1, 2))], "a long, b long, npmi double, sentences long, documents long")
+    got = graph.louvain(*graph.filtered_graph(made))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r["id"]: r["community"] for r in got.collect()} == {10 * k + a: 10 * k for k in range(40) for a in range(3)}
+    plan = lifecycle.build_clusters(made)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
